@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that `spark.checkpoint.dir` names.
-
-    A temporary folder is set only where that setting is absent, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; a temporary one only where that setting is absent."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path for a table in the shared folder."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def row_key(*columns: str) -> list[Column]:
     """Two independent 64-bit hashes of the columns; never null, equal for equal rows."""
     names = [F.col(c) for c in columns]
-    return [F.xxhash64(*names).alias("key_a"), F.xxhash64(F.lit(7), *names, F.lit(11)).alias("key_b")]
+    return [F.xxhash64(*names).alias("__key_a"), F.xxhash64(F.lit(7), *names, F.lit(11)).alias("__key_b")]
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

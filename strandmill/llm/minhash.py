@@ -250,8 +250,8 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     members = wanted.select("tile_a", "tile_b", "id").union(
         wanted.select("tile_a", "tile_b", F.explode("mates").alias("id"))
     )
-    members = members.distinct().join(sets, "id")
-    more = members.groupBy("tile_a", "tile_b").cogroup(wanted.groupBy("tile_a", "tile_b")).applyInPandas(
+    members = members.distinct().join(sets, "id").toDF("id", "side_a", "side_b", "items")
+    more = members.groupBy("side_a", "side_b").cogroup(wanted.groupBy("tile_a", "tile_b")).applyInPandas(
         _confirm_tile(percent), "a long, b long"
     )
     return found.union(cut(more))
@@ -269,10 +269,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     added = ["n_shingles", "component_id", "kept"]
     docs = docs.drop(*added)
     rows = docs.select("doc_id", "text", *row_key("text"))
-    schema = "doc_id long, key_a long, key_b long, n_shingles long, signature binary"
+    schema = "doc_id long, __key_a long, __key_b long, n_shingles long, signature binary"
     signed = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(_sign(width), schema)
     classes = cut(
-        signed.groupBy("key_a", "key_b").agg(
+        signed.groupBy("__key_a", "__key_b").agg(
             F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")
         )
     )
@@ -281,14 +281,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = (
         classes.drop("signature")
         .join(labels, "id", "left")
-        .select("key_a", "key_b", "n_shingles", F.coalesce("component", "id").alias("of_class"))
+        .select("__key_a", "__key_b", "n_shingles", F.coalesce("component", "id").alias("__class"))
     )
     empty = F.col("n_shingles") == 0
     own = F.col("doc_id").isNull() | empty
     return (
-        docs.withColumns(dict(zip(("key_a", "key_b"), row_key("text"), strict=True)))
-        .join(classes, ["key_a", "key_b"], "left")
-        .withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("of_class")).cast("long"))
+        docs.withColumns(dict(zip(("__key_a", "__key_b"), row_key("text"), strict=True)))
+        .join(classes, ["__key_a", "__key_b"], "left")
+        .withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("__class")).cast("long"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select(*docs.columns, *added)
     )
