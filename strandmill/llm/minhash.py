@@ -66,7 +66,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def index_keys(signature: np.ndarray) -> np.ndarray:
-    """The 64 keys of each signature: chunk `c` without its symbol `o` makes key `c * 4 + o`."""
+    """The 64 keys of each signature: chunk `c` without its symbol `o` makes the key whose low bits are `c * 4 + o`."""
     out = np.empty((len(signature), CHUNKS * CHUNK), dtype=np.uint64)
     wide = signature.astype(np.uint64)
     for chunk in range(CHUNKS):
@@ -75,7 +75,8 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
             for k in range(CHUNK):
                 if k != out_of:
                     key = mix64(key * np.uint64(0x10001) + wide[:, chunk * CHUNK + k])
-            out[:, chunk * CHUNK + out_of] = key
+            slot = chunk * CHUNK + out_of
+            out[:, slot] = (key & ~np.uint64(63)) | np.uint64(slot)
     return out
 
 
@@ -104,7 +105,6 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(
                 {
                     "key": keys.ravel(),
-                    "slot": np.tile(np.arange(keys.shape[1], dtype=np.int32), len(part)),
                     "id": np.repeat(part["id"].to_numpy(), keys.shape[1]),
                 }
             )
@@ -116,7 +116,7 @@ def _sets(width: int):
             texts = batch["text"].tolist()
             for part in slices(texts):
                 packed = [s.tobytes() for s in shingle_sets(texts[part], width)]
-                yield pd.DataFrame({"id": batch["id"].iloc[part], "items": packed})
+                yield batch.iloc[part].drop(columns="text").assign(items=packed)
 
     return run
 
@@ -153,8 +153,7 @@ def _confirm_pairs(percent: int):
 def _bucket_tile(tile: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Pairs of one tile within the radius and in different components, each in its first common key only."""
     low, high = tile[1], tile[2]
-    slot = int(rows["slot"].iloc[0])
-    chunk, out_of = divmod(slot, CHUNK)
+    chunk, out_of = divmod(int(tile[0]) & 63, CHUNK)
     one = rows[rows["block"] == low]
     two = rows[rows["block"] == high]
     sig = np.frombuffer(b"".join(two["signature"]), np.uint16).reshape(-1, SYMBOLS)
@@ -192,18 +191,19 @@ def _confirm_tile(percent: int):
 
 
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect all similar classes; `signed` has (id, signature) of the classes."""
-    keys = cut(signed.select("id", "signature").mapInPandas(_keys, "key long, slot int, id long"))
+    """Confirmed links (a, b) that connect all similar classes; `signed` has the classes' id, text keys, signature."""
+    keys = signed.select("id", "signature").mapInPandas(_keys, "key long, id long")
     buckets = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     shared = cut(keys.join(buckets, "key"))
     stars = shared.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     stars = cut(stars)
 
-    involved = shared.select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(involved, "id")
-    sets = cut(texts.mapInPandas(_sets(width), "id long, items binary").dropDuplicates())
-    signs = signed.select("id", "signature").join(involved, "id")
-    known = sets.join(signs, "id")
+    involved = cut(signed.join(shared.select("id").distinct(), "id").select("id", "__key_a", "__key_b", "signature"))
+    texts = docs.select(F.col("doc_id").alias("id"), *row_key("text"), "text")
+    texts = texts.join(involved, ["id", "__key_a", "__key_b"]).groupBy("id", "__key_a", "__key_b")
+    texts = texts.agg(F.first("text").alias("text"), F.first("signature").alias("signature"))
+    known = cut(texts.select("id", "signature", "text").mapInPandas(_sets(width), "id long, signature binary, items binary"))
+    sets = known.select("id", "items")
 
     one = known.select(F.col("id").alias("a"), F.col("items").alias("set_a"), F.col("signature").alias("sig_a"))
     two = known.select(F.col("id").alias("b"), F.col("items").alias("set_b"), F.col("signature").alias("sig_b"))
@@ -214,7 +214,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     labels = components(found)
     homes = judged.where("near").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("home"))
     nodes = (
-        involved.join(labels, "id", "left")
+        involved.select("id").distinct().join(labels, "id", "left")
         .join(homes, "id", "left")
         .select("id", F.coalesce("component", "id").alias("label"), F.coalesce("home", "id").alias("home"))
     )
@@ -238,7 +238,7 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
         .withColumn("block", F.pmod(F.hash("id"), "blocks"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "key", "slot", "id", "label", "set_block", "signature", "block",
+            "key", "id", "label", "set_block", "signature", "block",
             F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
         )
     )

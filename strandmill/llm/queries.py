@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import lines, minhash
+from strandmill.llm import decontaminate, lines, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": lines.op9_lines,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_lines": lines.ORACLE_SQL,
 }
