@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import decontaminate, lines, minhash
+from strandmill.llm import decontaminate, lines, minhash, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
+    "op3_sharding": sharding.op3_sharding,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": lines.op9_lines,
 }
