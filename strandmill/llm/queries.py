@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import decontaminate, lines, minhash, sharding
+from strandmill.llm import decontaminate, language, lines, minhash, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op3_sharding": sharding.op3_sharding,
+    "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": lines.op9_lines,
 }
