@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import decontaminate, language, lines, minhash, quality, sharding
+from strandmill.llm import decontaminate, language, lines, minhash, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op3_sharding": sharding.op3_sharding,
     "op4_quality": quality.op4_quality,
+    "op5_pieces": pieces.op5_pieces,
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": lines.op9_lines,
