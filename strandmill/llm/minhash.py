@@ -247,10 +247,10 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
             _bucket_tile, "tile_a long, tile_b long, id long, own long, other long, mates array<long>"
         )
     )
-    members = wanted.select("tile_a", "tile_b", "id").union(
-        wanted.select("tile_a", "tile_b", F.explode("mates").alias("id"))
-    )
-    members = members.distinct().join(sets, "id").toDF("id", "side_a", "side_b", "items")
+    pairs = wanted.select("tile_a", "tile_b").distinct()
+    blocks = pairs.select("*", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("set_block"))
+    members = blocks.join(nodes.select("set_block", "id"), "set_block").join(sets, "id")
+    members = members.select("tile_a", "tile_b", "id", "items").toDF("side_a", "side_b", "id", "items")
     more = members.groupBy("side_a", "side_b").cogroup(wanted.groupBy("tile_a", "tile_b")).applyInPandas(
         _confirm_tile(percent), "a long, b long"
     )
