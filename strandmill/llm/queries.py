@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import decontaminate, language, lines, minhash, pieces, quality, sharding
+from strandmill.llm import decontaminate, language, lines, minhash, passages, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_passages": passages.op2_passages,
     "op3_sharding": sharding.op3_sharding,
     "op4_quality": quality.op4_quality,
     "op5_pieces": pieces.op5_pieces,
