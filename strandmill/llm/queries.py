@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import decontaminate, language, lines, minhash, passages, pieces, quality, sharding
+from strandmill.llm import decontaminate, embeddings, language, lines, minhash, passages, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": lines.op9_lines,
+    "op10_embeddings": embeddings.op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {
