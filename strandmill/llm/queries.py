@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import decontaminate, embeddings, language, lines, minhash, passages, pieces, quality, sharding
+from strandmill.llm import decontaminate, embeddings, language, licences, lines, minhash, passages, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": sharding.op3_sharding,
     "op4_quality": quality.op4_quality,
     "op5_pieces": pieces.op5_pieces,
+    "op6_licences": licences.op6_licences,
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": lines.op9_lines,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_licences": licences.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_lines": lines.ORACLE_SQL,
 }
