@@ -5,19 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandmill.llm import minhash
+from strandmill.llm import decontaminate, language, lines, minhash, pieces
 from strandmill.llm.common import shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose language the classifier rejects; it learns from the labelled documents themselves."""
+    return language.predict(docs, language.train(docs)).where("not rejected").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that many documents share; every document stays, if only with an empty text."""
+    out = lines.drop_repeated_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("minhash", near_dedup)]
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold benchmark passages."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids; a document that doesn't decode to its own text would fail the job."""
+    encoded = pieces.encode(docs.withColumn("__text", F.sha2(F.col("text").cast("binary"), 256)))
+    decoded = pieces.decode(encoded)
+    same = F.sha2(F.col("decoded").cast("binary"), 256).eqNullSafe(F.col("__text"))
+    checked = F.when(same, F.col("tokens")).otherwise(F.raise_error(F.lit("tokens don't decode to the text")))
+    return decoded.select(
+        *docs.columns,
+        checked.alias("tokens"),
+        F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"),
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate_benchmark),
+    ("sentencepiece", tokenise),
+]
 
 #: Language ID and tokenisation have no SQL form.
 ORACLE_SQL = None

@@ -45,10 +45,10 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             if last - first >= width:
                 yield np.unique(joined[first : last - width + 1])
             elif last > first:
-                whole = np.uint64(last - first)
+                whole = np.array([last - first], dtype=np.uint64)
                 for word in words[first:last]:
-                    whole = mix64(np.array([whole * np.uint64(31) + word]))[0]
-                yield np.array([whole], dtype=np.uint64)
+                    whole = mix64(whole * np.uint64(31) + word)
+                yield whole
             else:
                 yield np.empty(0, dtype=np.uint64)
 
