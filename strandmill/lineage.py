@@ -35,3 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
+
+
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes rows as a compressed table in the shared folder and reads them again; for wide rows, smaller than a checkpoint."""
+    path = shared_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
