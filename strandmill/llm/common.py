@@ -1,37 +1,24 @@
-"""Reading, lineage cutting and connected components for the training-data operators."""
+"""Reading, row keys and connected components for the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from strandmill.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a temporary one only where that setting is absent."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def row_key(*columns: str) -> list[Column]:
     """Two independent 64-bit hashes of the columns; never null, equal for equal rows."""
     names = [F.col(c) for c in columns]
@@ -60,3 +47,43 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         state = found
     roots = pairs.select(F.col("b").alias("a")).distinct()
     return pairs.union(roots.select("a", F.col("a").alias("b"))).toDF("id", "component").distinct()
+
+
+def extend(
+    df: DataFrame, function: Callable[..., Sequence], inputs: list[str], added: str, drop: Sequence[str] = (), rows: int = 0
+) -> DataFrame:
+    """Adds columns that a Python function computes from the Arrow arrays of `inputs`; other columns pass through untouched.
+
+    The function gets slices of a batch, cut by the size of the first input (or after `rows` rows), and returns one
+    sequence for each column of the DDL string `added`.  Input columns in `drop` don't stay.
+    """
+    new = T.StructType.fromDDL(added)
+    old = [f for f in df.schema.fields if f.name not in drop]
+    types = [to_arrow_type(f.dataType, prefers_large_types=False) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in _slices(batch.column(inputs[0]), rows):
+                part = batch.slice(first, last - first)
+                made = function(*[part.column(c) for c in inputs])
+                arrays = [part.column(f.name) for f in old]
+                arrays += [pa.array(values, type=t, from_pandas=True) for values, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in old), *new.names])
+
+    return df.mapInArrow(run, T.StructType([*old, *new.fields]))
+
+
+def _slices(column: pa.Array, rows: int, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of about `limit` bytes (or list values), one row at least."""
+    if rows:
+        ends = np.arange(rows, len(column) + rows, rows)
+    else:
+        sizes = pc.binary_length(column) if pa.types.is_string(column.type) else pc.list_value_length(column)
+        total = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
+        ends = np.flatnonzero(np.diff(total // limit, append=-1)) + 1
+    first = 0
+    for end in ends:
+        last = min(int(end), len(column))
+        if last > first:
+            yield first, last
+            first = last

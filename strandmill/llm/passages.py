@@ -18,16 +18,20 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import cut, row_key, table
+from strandmill.lineage import cut, discard, store
+from strandmill.llm.common import extend, row_key, table
 from strandmill.llm.kernels import SPACE_SEPARATED, mix64, slices, word_hashes
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STEP = 0xD1342543DE82EF95
-#: Recurring windows of one automaton, contexts of one task's share of a shard, and keys that may be broadcast.
-_SHARD_WINDOWS, _SHARD_CONTEXTS, _BROADCAST_KEYS = 400, 1500, 1_000_000
+#: Recurring windows of one automaton, contexts of one task's share of a shard, and short rows that may be broadcast.
+_SHARD_WINDOWS, _SHARD_CONTEXTS, _BROADCAST_ROWS = 400, 1500, 1_000_000
+
+_KEYS = ["__key_a", "__key_b"]
 
 
 def phrase_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -81,12 +85,13 @@ def _pick(window: int, phrase: int):
 
 def _contexts(window: int, phrase: int):
     """Cuts out the contexts of recurring anchors, with the hashes of the windows that each of them owns."""
+    columns = ["class", "phrase", "begin", "words", "windows"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            rows = zip(batch["__key_a"], batch["__key_b"], batch["text"], batch["recurring"], strict=True)
-            for (a, b, text, recurring), words in zip(rows, _documents(batch["text"].tolist()), strict=True):
+            rows = zip(batch["class"], batch["text"], batch["recurring"], strict=True)
+            for (of, text, recurring), words in zip(rows, _documents(batch["text"].tolist()), strict=True):
                 owner = anchors(words, window, phrase)
                 hashes = phrase_hashes(words, phrase).view(np.int64)
                 whole = phrase_hashes(words, window).view(np.int64)
@@ -98,11 +103,11 @@ def _contexts(window: int, phrase: int):
                 for first, last in zip(edges[:-1], edges[1:], strict=True):
                     begin, end = int(mine[first]), int(mine[last - 1])
                     cut_out = " ".join(written[begin : end + window])
-                    out.append((a, b, int(hashes[owner[mine[first]]]), begin, cut_out, whole[begin : end + 1]))
+                    out.append((of, int(hashes[owner[mine[first]]]), begin, cut_out, whole[begin : end + 1]))
                     if len(out) >= 5000:
-                        yield pd.DataFrame(out, columns=["__key_a", "__key_b", "phrase", "begin", "words", "windows"])
+                        yield pd.DataFrame(out, columns=columns)
                         out = []
-            yield pd.DataFrame(out, columns=["__key_a", "__key_b", "phrase", "begin", "words", "windows"])
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -118,82 +123,85 @@ def _locate(window: int):
         out = []
         if len(automaton):
             automaton.make_automaton()
-            for a, b, begin, text in zip(
-                contexts["__key_a"], contexts["__key_b"], contexts["begin"], contexts["words"], strict=True
-            ):
-                stream = tuple([ids.get(w, 0) for w in text.split(" ")])
-                ends = np.array([end for end, _ in automaton.iter(stream)], dtype=np.int64)
-                if len(ends):
-                    starts = ends - window + 1 + begin
+            known: dict[str, np.ndarray | None] = {}  # copies have contexts in common
+            for of, begin, text in zip(contexts["class"], contexts["begin"], contexts["words"], strict=True):
+                if text not in known:
+                    stream = tuple([ids.get(w, 0) for w in text.split(" ")])
+                    starts = np.array([end for end, _ in automaton.iter(stream)], dtype=np.int64) - window + 1
                     breaks = np.flatnonzero(np.diff(starts) > window)
-                    low = starts[np.concatenate([[0], breaks + 1])]
-                    high = starts[np.concatenate([breaks, [-1]])] + window
-                    out.append((a, b, np.stack([low, high], axis=1).ravel()))
-        return pd.DataFrame(out, columns=["__key_a", "__key_b", "spans"])
+                    if len(starts):
+                        low, high = starts[np.append(0, breaks + 1)], starts[np.append(breaks, -1)] + window
+                        known[text] = np.stack([low, high], axis=1).ravel()
+                    else:
+                        known[text] = None
+                if known[text] is not None:
+                    out.append((of, known[text] + begin))
+        return pd.DataFrame(out, columns=["class", "spans"])
 
     return run
 
 
 def _remove(window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept, n_words, n_removed = [], [], []
-            for text, copies, spans in zip(batch["text"], batch["copies"], batch["spans"], strict=True):
-                words = _WORD.findall(text) if text is not None else []
-                total = len(words)
-                if copies and total >= window:
-                    words = []
-                elif spans is not None:
-                    stay = np.ones(total, dtype=bool)
-                    for part in spans:
-                        for low, high in part.reshape(-1, 2):
-                            stay[low:high] = False
-                    words = [words[i] for i in np.flatnonzero(stay)]
-                kept.append(None if text is None else " ".join(words))
-                n_words.append(total)
-                n_removed.append(total - len(words))
-            rest = batch.drop(columns=["text", "copies", "spans"])
-            counts = {"n_words": np.array(n_words, np.int64), "n_removed": np.array(n_removed, np.int64)}
-            yield rest.assign(kept_text=kept, **counts)
+    def run(texts: pa.Array, copied: pa.Array, located: pa.Array) -> tuple[list, list, list]:
+        kept, n_words, n_removed = [], [], []
+        for text, copies, spans in zip(texts.to_pylist(), copied.to_pylist(), located.to_pylist(), strict=True):
+            words = _WORD.findall(text) if text is not None else []
+            total = len(words)
+            if copies and total >= window:
+                words = []
+            elif spans:
+                stay = np.ones(total, dtype=bool)
+                for part in spans:
+                    for low, high in zip(part[::2], part[1::2], strict=True):
+                        stay[low:high] = False
+                words = [words[i] for i in np.flatnonzero(stay)]
+            kept.append(None if text is None else " ".join(words))
+            n_words.append(total)
+            n_removed.append(total - len(words))
+        return kept, n_words, n_removed
 
     return run
 
 
 def _narrow(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     """Joins rows to `small`, which is broadcast only if a count shows that it is small enough."""
-    return big.join(F.broadcast(small) if small.count() <= _BROADCAST_KEYS else small, on)
+    return big.join(F.broadcast(small) if small.count() <= _BROADCAST_ROWS else small, on)
 
 
 def repeated_spans(classes: DataFrame, texts: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(text key, spans) of all words in recurring windows; `classes` has each distinct text's anchors, `texts` the texts."""
-    keys = ["__key_a", "__key_b"]
-    spread = classes.select(*keys, F.explode("phrases").alias("phrase"))
+    """(class, spans) of all words in recurring windows; `classes` has each distinct text's anchors, `texts` the texts."""
+    spread = classes.select("class", F.explode("phrases").alias("phrase"))
     # an anchor that recurs within one text counts for each of its places
-    often = spread.groupBy("phrase").count().where("count > 1").select("phrase")
-    recurring = spread.join(often, "phrase").groupBy(*keys).agg(F.collect_set("phrase").alias("recurring"))
-    recurring = cut(recurring)
-    schema = "__key_a long, __key_b long, phrase long, begin long, words string, windows array<long>"
-    wide = _narrow(texts, recurring, keys).select(*keys, "text", "recurring")
-    contexts = cut(wide.mapInPandas(_contexts(window, phrase), schema))
-
-    places = contexts.select(*keys, "begin", F.posexplode("windows").alias("place", "hash"))
-    counted = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(*keys, "begin", "place")).alias("at"))
-    chosen = counted.where("n > 1").groupBy("at.__key_a", "at.__key_b", "at.begin")
-    chosen = chosen.agg(F.collect_list("at.place").alias("places"))
-    patterns = cut(contexts.join(chosen, [*keys, "begin"]).select("phrase", "words", "places"))
+    often = cut(spread.groupBy("phrase").count().where("count > 1").select("phrase"))
+    recurring = _narrow(spread, often, ["phrase"]).groupBy("class").agg(F.collect_set("phrase").alias("recurring"))
+    recurring = cut(recurring.join(classes.select("class", *_KEYS, "doc"), "class"))
+    schema = "class long, phrase long, begin long, words string, windows array<long>"
+    wide = texts.join(recurring, [*_KEYS, "doc"]).select("class", "text", "recurring")
+    contexts = wide.mapInPandas(_contexts(window, phrase), schema)
+    contexts, path = store(contexts.withColumn("context", F.monotonically_increasing_id()))
+
+    places = contexts.select("context", F.posexplode("windows").alias("place", "hash"))
+    at = F.min(F.struct("context", "place")).alias("at")
+    counted = places.groupBy("hash").agg(F.count("*").alias("n"), at).where("n > 1")
+    chosen = counted.groupBy("at.context").agg(F.collect_list("at.place").alias("places"))
+    patterns = _narrow(contexts.select("context", "phrase", "words"), cut(chosen), ["context"])
+    patterns = cut(patterns.select("phrase", "words", "places"))
     total = patterns.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = -(-total // _SHARD_WINDOWS) or 1
     shard = F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")
-    salts = contexts.groupBy(shard).agg(F.ceil(F.count("*") / _SHARD_CONTEXTS).cast("int").alias("salts"))
-    dealt = patterns.select(shard, "words", "places").join(salts, "shard")
+    salts = cut(contexts.groupBy(shard).agg(F.ceil(F.count("*") / _SHARD_CONTEXTS).cast("int").alias("salts")))
+    dealt = _narrow(patterns.select(shard, "words", "places"), salts, ["shard"])
     dealt = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "words", "places")
-    streams = contexts.select(shard, *keys, "begin", "words").join(salts, "shard")
-    streams = streams.withColumn("salt", F.pmod(F.xxhash64(*keys, "begin"), "salts").cast("int")).drop("salts")
-    streams = streams.select("shard", "salt", *keys, "begin", "words").toDF("of_shard", "of_salt", *keys, "begin", "words")
-    located = dealt.toDF("shard", "salt", "words", "places").groupBy("shard", "salt").cogroup(streams.groupBy("of_shard", "of_salt")).applyInPandas(
-        _locate(window), "__key_a long, __key_b long, spans array<long>"
-    )
-    return located.groupBy(*keys).agg(F.collect_list("spans").alias("spans"))
+    streams = _narrow(contexts.select(shard, "class", "begin", "words"), salts, ["shard"])
+    salt = F.pmod(F.xxhash64("class", "begin"), "salts").cast("int")
+    streams = streams.select("shard", salt, "class", "begin", "words").toDF("of_shard", "of_salt", "class", "begin", "words")
+    located = dealt.toDF("shard", "salt", "words", "places").groupBy("shard", "salt")
+    located = located.cogroup(streams.groupBy("of_shard", "of_salt")).applyInPandas(
+        _locate(window), "class long, spans array<long>"
+    )
+    spans = cut(located.groupBy("class").agg(F.collect_list("spans").alias("spans")))
+    discard(texts.sparkSession, path)
+    return spans
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 35, phrase: int = 16) -> DataFrame:
@@ -204,19 +212,21 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, phrase: int = 16)
     where doc_id is null or repeated, so the windows of repeated rows are all removed.  Extra columns pass through; columns
     named like the added ones are replaced.  An empty table gives an empty result.
     """
-    docs = docs.drop("kept_text", "n_words", "n_removed")
-    keys = ["__key_a", "__key_b"]
-    texts = docs.where("text is not null").select(*row_key("text"), "text")
-    picked = texts.mapInPandas(_pick(window, phrase), "__key_a long, __key_b long, phrases array<long>")
-    classes = cut(picked.groupBy(*keys).agg(F.first("phrases").alias("phrases"), F.count("*").alias("n")))
+    docs = docs.drop("kept_text", "n_words", "n_removed", "copies", "spans")
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
+    texts = docs.where("text is not null").select(*row_key("text"), doc, "text")
+    schema = "__key_a long, __key_b long, doc string, phrases array<long>"
+    picked = texts.mapInPandas(_pick(window, phrase), schema)
+    classes = picked.groupBy(*_KEYS).agg(F.first("phrases").alias("phrases"), F.min("doc").alias("doc"), F.count("*").alias("n"))
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
     spans = repeated_spans(classes.where("phrases is not null"), texts, window, phrase)
-    known = classes.select(*keys, (F.col("n") > 1).alias("copies")).join(spans, keys, "left")
-    known = known.where("copies or spans is not null")
-    joined = docs.withColumns(dict(zip(keys, row_key("text"), strict=True))).join(known, keys, "left").drop(*keys)
+    known = classes.select("class", *_KEYS, (F.col("n") > 1).alias("copies")).join(spans, "class", "left").drop("class")
+    known = cut(known.where("copies or spans is not null"))
+    joined = docs.withColumns(dict(zip(_KEYS, row_key("text"), strict=True))).join(known, _KEYS, "left")
+    joined = joined.drop(*_KEYS)
     joined = joined.withColumn("copies", F.coalesce("copies", F.lit(False)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    out = joined.mapInPandas(_remove(window), f"{fields}, kept_text string, n_words long, n_removed long")
-    return out
+    added = "kept_text string, n_words long, n_removed long"
+    return extend(joined, _remove(window), ["text", "copies", "spans"], added, drop=["text", "copies", "spans"])
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
