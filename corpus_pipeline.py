@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.lineage import shared_path
 from strandmill.llm import decontaminate, language, lines, minhash, pieces
-from strandmill.llm.common import shared_path, table
+from strandmill.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

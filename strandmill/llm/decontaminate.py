@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandmill.llm.common import cut, row_key, table
+from strandmill.lineage import cut
+from strandmill.llm.common import row_key, table
 from strandmill.llm.native import words
 
 _SHINGLE = 3

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import components, cut, table
+from strandmill.lineage import cut
+from strandmill.llm.common import components, table
 from strandmill.llm.kernels import hash_series, mix64
 
 TABLES, PROBES, SCALE = 8, 16, 1.0

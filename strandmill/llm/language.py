@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import table
+from strandmill.llm.common import extend, table
 from strandmill.llm.kernels import slices
 
 DIMENSIONS = 4096
@@ -140,24 +141,14 @@ def train(docs: DataFrame, per_language: int = 400, clusters: int = 4) -> Model
 
 
 def _predict(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for batch in batches:
-            texts = batch["text"].tolist()
-            langs, scores, rejected = [], [], []
-            for part in slices(texts):
-                some = texts[part]
-                written = [has_letter(t) for t in some]
-                if model is None or not any(written):
-                    best, score = np.zeros(len(some), int), np.zeros(len(some))
-                else:
-                    best, score = model.nearest(counts(some))
-                for known, k, s in zip(written, best, score, strict=True):
-                    good = known and model is not None
-                    langs.append(model.languages[model.of[k]] if good else "und")
-                    scores.append(float(s) if good else 0.0)
-                    rejected.append(not good or s < model.floor[k])
-            yield batch.assign(lang_pred=langs, score=scores, rejected=rejected)
+    def run(column: pa.Array) -> tuple[list, list, list]:
+        model, texts = shared.value, column.to_pylist()
+        written = [has_letter(t) for t in texts]
+        if model is None or not any(written):
+            return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        best, cosine = model.nearest(counts(texts))
+        langs = [model.languages[model.of[k]] if known else "und" for known, k in zip(written, best, strict=True)]
+        return langs, np.where(written, cosine, 0.0).astype(float), ~np.array(written) | (cosine < model.floor[best])
 
     return run
 
@@ -171,8 +162,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(_predict(shared), f"{fields}, lang_pred string, score double, rejected boolean")
+    return extend(docs, _predict(shared), ["text"], "lang_pred string, score double, rejected boolean")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import cut, row_key, table
+from strandmill.lineage import cut
+from strandmill.llm.common import row_key, table
 from strandmill.llm.native import SEPARATORS, lower_ascii, words
 
 #: Phrases and their base labels.

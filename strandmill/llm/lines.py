@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import cut, row_key, table
+from strandmill.lineage import cut
+from strandmill.llm.common import extend, row_key, table
 
 _LINES_PER_SEGMENT, _BITS_PER_LINE, _PROBES = 1024, 16, 4
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -57,6 +59,8 @@ def _insert(segments: int, min_chars: int):
             order = np.argsort(segment, kind="stable")
             values, counts, segment = values[order], counts[order], segment[order]
             starts = np.flatnonzero(np.diff(segment, prepend=-1))
+            if not len(starts):
+                continue
             ends = np.append(starts[1:], len(segment))
             yield pd.DataFrame(
                 {
@@ -97,7 +101,7 @@ def _suspects(shared, segments: int, segment_bits: int, min_chars: int):
             hit = (filters[at, bits >> 3] >> (7 - (bits & 7)).astype(np.uint8) & 1).all(axis=0) & (at >= 0)
             yield pd.DataFrame(
                 {
-                    "digest": [row.tobytes().hex() for row in digests[hit]],
+                    "digest": pd.Series([row.tobytes().hex() for row in digests[hit]], dtype=object),
                     "__key_a": batch["__key_a"].to_numpy()[owner[hit]],
                     "__key_b": batch["__key_b"].to_numpy()[owner[hit]],
                 }
@@ -106,20 +110,17 @@ def _suspects(shared, segments: int, segment_bits: int, min_chars: int):
     return run
 
 
-def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        lines, dropped, kept = [], [], []
-        for text, gone in zip(batch["text"], batch["gone"], strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-            out = raw
-            if gone is not None:
-                gone = set(gone)
-                out = [r for r, k in zip(raw, line_keys(text), strict=True) if not k or _digest(k).hex() not in gone]
-            lines.append(len(raw))
-            dropped.append(len(raw) - len(out))
-            kept.append(None if text is None else b"\n".join(out).decode("utf-8", "surrogatepass"))
-        rest = batch.drop(columns=["text", "gone"])
-        yield rest.assign(text=kept, n_lines=np.array(lines, np.int64), n_dropped=np.array(dropped, np.int64))
+def _strip(texts: pa.Array, found: pa.Array) -> tuple[list, list, list]:
+    kept, lines, dropped = [], [], []
+    for text, gone in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+        raw = out = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+        if gone:
+            gone = set(gone)
+            out = [r for r, k in zip(raw, line_keys(text), strict=True) if not k or _digest(k).hex() not in gone]
+        kept.append(None if text is None else b"\n".join(out).decode("utf-8", "surrogatepass"))
+        lines.append(len(raw))
+        dropped.append(len(raw) - len(out))
+    return kept, lines, dropped
 
 
 def drop_repeated_lines(
@@ -157,13 +158,8 @@ def drop_repeated_lines(
     repeated = suspects.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("digest")
     gone = suspects.join(repeated, "digest").groupBy("__key_a", "__key_b").agg(F.collect_set("digest").alias("gone"))
     joined = keyed.join(gone, ["__key_a", "__key_b"], "left").drop("__key_a", "__key_b")
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest])
-    added = "text string, n_lines long, n_dropped long"
-    out = joined.select(*[f"`{f.name}`" for f in rest], "text", "gone").mapInPandas(
-        _strip, f"{schema}, {added}" if schema else added
-    )
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    out = extend(joined, _strip, ["text", "gone"], "text string, n_lines long, n_dropped long", drop=["text", "gone"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

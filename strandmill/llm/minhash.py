@@ -17,10 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import components, cut, row_key, table
+from strandmill.lineage import cut
+from strandmill.llm.common import components, extend, row_key, table
 from strandmill.llm.kernels import SPACE_SEPARATED, hash_series, mix64, slices, word_hashes
 
 SYMBOLS, CHUNK = 64, 4
@@ -81,17 +83,14 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in slices(texts):
-                sets = list(shingle_sets(texts[part], width))
-                sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                packed = np.full(len(sets), None, dtype=object)
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    packed[full] = [row.tobytes() for row in signatures([sets[i] for i in full])]
-                yield batch.iloc[part].drop(columns="text").assign(n_shingles=sizes, signature=packed)
+    def run(column: pa.Array) -> tuple[list, list]:
+        sets = list(shingle_sets(column.to_pylist(), width))
+        full = [i for i, s in enumerate(sets) if len(s)]
+        packed: list[bytes | None] = [None] * len(sets)
+        if full:
+            for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
+                packed[i] = row.tobytes()
+        return [len(s) for s in sets], packed
 
     return run
 
@@ -269,8 +268,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     added = ["n_shingles", "component_id", "kept"]
     docs = docs.drop(*added)
     rows = docs.select("doc_id", "text", *row_key("text"))
-    schema = "doc_id long, __key_a long, __key_b long, n_shingles long, signature binary"
-    signed = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(_sign(width), schema)
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    signed = extend(rows, _sign(width), ["text"], "n_shingles long, signature binary", drop=["text"])
     classes = cut(
         signed.groupBy("__key_a", "__key_b").agg(
             F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")

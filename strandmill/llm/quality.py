@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import table
-from strandmill.llm.kernels import slices
+from strandmill.llm.common import extend, table
 from strandmill.llm.language import held_out
 
 FILTERS, WIDTH, CHUNK = 16, 5, 256
@@ -163,14 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2400, chunks: int = 12
 
 
 def _score(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        network = shared.value
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in slices(texts):
-                some = texts[part]
-                found = np.full(len(some), 0.5) if network is None else score(network, some)
-                yield batch.iloc[part].assign(score=found, predicted=(found >= THRESHOLD).astype(np.int32))
+    def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        network, texts = shared.value, column.to_pylist()
+        found = np.full(len(texts), 0.5) if network is None else score(network, texts)
+        return found, (found >= THRESHOLD).astype(np.int32)
 
     return run
 
@@ -184,8 +180,7 @@ def classify(docs: DataFrame, network: Network | None) -> DataFrame:
     """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(_score(shared), f"{fields}, score double, predicted int")
+    return extend(docs, _score(shared), ["text"], "score double, predicted int")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
