@@ -1,7 +1,7 @@
 """License scans with a positional rare-token index, in DataFrame operations only.
 
 Base labels come from phrases whose words stand consecutively.  The method adds labels from licence notices: each notice
-is indexed under its `RARE` rarest words, by document frequency in the scanned corpus, with their positions.  A document
+is indexed under its `RARE` rarest words that occur, by document frequency in the scanned corpus, with their positions.  A document
 looks up the indexed words that it holds; a hit at position `p` of a word that the notice has at position `q` votes
 for the notice at offset `p - q`.  A notice is found where at least half of its rare words agree on the offset and its
 mandatory key phrase stands at its place, word by word.
@@ -106,14 +106,14 @@ def _notice_words(spark: SparkSession) -> DataFrame:
 
 
 def rare_index(texts: DataFrame) -> DataFrame:
-    """(notice, label, place, word, key_at, key, size) of each notice's rarest words in `texts` (w)."""
+    """(notice, label, place, word, key_at, key, size) of each notice's rarest words among those in `texts` (w)."""
     listed = _notice_words(texts.sparkSession)
     vocabulary = sorted({w for _, notice, _ in NOTICES for w in notice.split()})
     held = texts.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, vocabulary)))).alias("word"))
     counts = held.groupBy("word").agg(F.count("*").alias("df"))
-    rank = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "place")))
+    rank = F.array_sort(F.collect_list(F.struct("df", "word", "place")))
     rarest = (
-        listed.join(F.broadcast(cut(counts)), "word", "left")
+        listed.join(F.broadcast(cut(counts)), "word")
         .groupBy("notice", "label", "key_at", "key")
         .agg(F.slice(rank, 1, RARE).alias("rare"))
     )
@@ -200,8 +200,8 @@ key(notice, label, key, n, key_at) AS (VALUES {_values(keys)}),
 freq AS (SELECT word, count(DISTINCT rid) AS df FROM spot WHERE word IN (SELECT word FROM notice) GROUP BY word),
 ranked AS (
   SELECT notice, place, word,
-    row_number() OVER (PARTITION BY notice ORDER BY coalesce(df, 0), word) AS rank
-  FROM notice LEFT JOIN freq USING (word)
+    row_number() OVER (PARTITION BY notice ORDER BY df, word) AS rank
+  FROM notice JOIN freq USING (word)
 ), rare AS (
   SELECT notice, place, word, count(*) OVER (PARTITION BY notice) AS size FROM ranked WHERE rank <= {RARE}
 ), vote AS (
