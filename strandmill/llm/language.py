@@ -42,14 +42,12 @@ def has_letter(text: str | None) -> bool:
 def counts(texts: list[str | None]) -> np.ndarray:
     """Hashed n-gram counts, one row for each text."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    data = _FOLD[np.frombuffer(b" ".join([b"", *raw, b""]), dtype=np.uint8)]
-    ends = np.cumsum([len(b) + 1 for b in raw])
-    owner = np.repeat(np.arange(len(raw)), [len(b) + 1 for b in raw])
+    # each text stands between two spaces of its own
+    data = _FOLD[np.frombuffer(b" " + b"  ".join(raw) + b" ", dtype=np.uint8)]
+    owner = np.repeat(np.arange(len(raw)), [len(b) + 2 for b in raw])
     keep = np.ones(len(data), dtype=bool)
-    keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
-    if len(ends):
-        keep[ends] = True
-    owner = np.append(owner, len(raw) - 1)[keep]
+    keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20) | (owner[1:] != owner[:-1])
+    owner = owner[keep]
     data = data[keep].astype(np.uint32)
     out = np.zeros(len(raw) * DIMENSIONS, dtype=np.int64)
     for width in (2, 3):
