@@ -105,8 +105,8 @@ def word_hashes(texts: Sequence[str | None], table: np.ndarray, lower: bool) ->
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), offsets
 
 
-def slices(texts: Sequence[str | None], limit: int = _PIECE) -> Iterator[slice]:
-    """Consecutive slices of `texts` with about `limit` characters each, one text at least."""
+def slices(texts: Sequence, limit: int = _PIECE) -> Iterator[slice]:
+    """Consecutive slices of texts (or lists) with about `limit` characters each, one text at least."""
     first, total = 0, 0
     for i, text in enumerate(texts):
         size = len(text) if text is not None else 0

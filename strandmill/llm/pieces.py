@@ -2,32 +2,34 @@
 
 A merge-type (BPE) model is applied with an agenda of candidate merges, best score first and leftmost among equals.  A
 candidate that is taken from the agenda is skipped if its keyed hash falls below the dropout rate; the key is the seed,
-the word, its variant, the candidate's place and the piece it would make.  The variant of a word comes from a keyed hash of
-doc_id and the word's position, so a word is segmented in up to `VARIANTS` ways throughout the corpus, and every run gives
-the same ids.  Symbols outside the vocabulary become byte pieces, so decoding always returns the text.
+the word, its variant, the candidate's place and the piece it would make.  A document's variant comes from a keyed
+hash of its doc_id, so a word is segmented in up to `VARIANTS` ways throughout the corpus for each seed, and every run
+gives the same ids.  The agendas of many words advance together in numpy, each by its best candidate in a round; very long words
+have a heap of their own.  Symbols outside the vocabulary become byte pieces, so decoding always returns the text.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import table
+from strandmill.llm.common import extend, table
 from strandmill.llm.kernels import mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS = 4
+VARIANTS = 2
 _WORD = re.compile(r" +[^ ]*")
 _MASK = (1 << 64) - 1
-#: Segmentations that a worker remembers for each variant, and texts' words hashed at once.
-_REMEMBERED = 60_000
+#: Segmentations that a worker remembers for each variant, and the longest word whose agenda advances with others.
+_REMEMBERED, _LONGEST = 160_000, 200
+_SLOT_BITS = 20
+_NEVER = np.int32(2**31 - 1)
+_PLACE, _PIECE, _MIX_A, _MIX_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 class Codec:
@@ -54,12 +56,115 @@ class Codec:
                 text = piece.replace("▁", " ")
                 self.ids[text] = i
                 self.raw.append(text.encode())
-        self.remembered = [_Remembered(self, v) for v in range(VARIANTS)]
-
-    def segment(self, word: str, variant: int) -> list[int]:
-        """The ids of one word (spaces, then other characters), by agenda with keyed dropout."""
+        self.remembered: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self._tables()
+
+    def _tables(self) -> None:
+        """Arrays for many words at once: symbols of single characters, and every merge by its pair of symbols."""
+        self.symbol = np.full(0x110000, -1, dtype=np.int64)
+        pairs = []
+        for text, i in self.ids.items():
+            if len(text) == 1:
+                self.symbol[ord(text)] = i
+            for k in range(1, len(text)):
+                left, right = self.ids.get(text[:k]), self.ids.get(text[k:])
+                if left is not None and right is not None:
+                    pairs.append((left * len(self.raw) + right, i))
+        # pairs by a slot of their hash; those whose slot is taken are few and looked up by bisection
+        codes, makes = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        slots = self._slot(codes)
+        _, first = np.unique(slots, return_index=True)
+        self.slot_code, self.slot_makes = np.full(1 << _SLOT_BITS, -1, dtype=np.int64), np.zeros(1 << _SLOT_BITS, dtype=np.int32)
+        self.slot_code[slots[first]], self.slot_makes[slots[first]] = codes[first], makes[first]
+        rest = np.setdiff1d(np.arange(len(codes)), first)
+        rest = rest[np.argsort(codes[rest])]
+        self.rest_code, self.rest_makes = np.append(codes[rest], 1 << 62), np.append(makes[rest], 0)
+        self.shared = np.zeros(1 << _SLOT_BITS, dtype=bool)
+        self.shared[slots[rest]] = True
+        self.order = np.empty(len(self.rank), dtype=np.int32)
+        self.order[np.argsort(self.rank, kind="stable")] = np.arange(len(self.rank))
+
+    @staticmethod
+    def _slot(code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(_PLACE)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def keys(self, words: list[str], variant: int) -> np.ndarray:
+        """The dropout keys of non-empty words for a variant under the seed."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        first = np.cumsum(lengths) - lengths
+        place = (np.arange(len(chars)) - np.repeat(first, lengths)).astype(np.uint64)
+        mixed = mix64(chars.astype(np.uint64) | (place << np.uint64(32)))
+        own = np.uint64((self.seed * VARIANTS + variant) * _PLACE & _MASK)
+        return mix64(np.add.reduceat(mixed, first) ^ own)
+
+    def _propose(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of neighbours the order of their candidate, never where there is none or it is skipped, and its piece."""
+        code = left * len(self.raw) + right
+        slot = self._slot(code)
+        there, made = self.slot_code[slot] == code, self.slot_makes[slot]
+        other = np.flatnonzero(~there & self.shared[slot])
+        at = np.searchsorted(self.rest_code, code[other])
+        there[other] = self.rest_code[at] == code[other]
+        made[other] = self.rest_makes[at]
+        there &= (left >= 0) & (right >= 0)
+        if self.limit:
+            mixed = key ^ (place.astype(np.uint64) * np.uint64(_PLACE)) ^ (made.astype(np.uint64) * np.uint64(_PIECE))
+            mixed = mixed * np.uint64(_MIX_A)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(_MIX_B)
+            there &= (mixed >> np.uint64(32)) >= self.limit
+        return np.where(there, self.order[made], _NEVER), made
+
+    def segment_many(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """The packed ids of many non-empty words; every round merges the best candidate of each word's agenda."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        word = np.repeat(np.arange(len(words)), lengths)
+        first_char = np.cumsum(lengths) - lengths
+        char = np.arange(len(chars))
+        symbol = self.symbol[chars]
+        inside = np.append(word[1:] == word[:-1], False)
+        order, made = self._propose(symbol, np.append(symbol[1:], -1), keys[word], char - first_char[word])
+        order[~inside] = _NEVER
+        done = []
+        while len(word):
+            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            sizes = np.diff(np.append(heads, len(word)))
+            best = np.repeat(np.minimum.reduceat(order, heads), sizes)
+            live = best < _NEVER
+            done.append((char[~live], symbol[~live]))
+            word, char, symbol, order, made, best = (x[live] for x in (word, char, symbol, order, made, best))
+            spots = np.flatnonzero(order == best)
+            spots = spots[np.diff(word[spots], prepend=-1) != 0]
+            symbol[spots] = made[spots]
+            stay = np.ones(len(word), dtype=bool)
+            stay[spots + 1] = False
+            word, char, symbol, order, made = (x[stay] for x in (word, char, symbol, order, made))
+            spots = spots - np.arange(len(spots))
+            for left in (spots, spots[spots > 0] - 1):
+                right = np.minimum(left + 1, len(word) - 1)
+                same = (word[left] == word[right]) & (left != right)
+                found = self._propose(symbol[left], symbol[right], keys[word[left]], char[left] - first_char[word[left]])
+                order[left], made[left] = np.where(same, found[0], _NEVER), found[1]
+        at = np.concatenate([c for c, _ in done])
+        rank = np.argsort(at)
+        at, flat = at[rank], np.concatenate([x for _, x in done])[rank]
+        ends = np.searchsorted(at, first_char + lengths)
+        unknown = np.flatnonzero(flat < 0)
+        if len(unknown):
+            spelled = [[self.byte[b] for b in chr(chars[at[i]]).encode("utf-8", "surrogatepass")] for i in unknown]
+            extra = np.ones(len(flat), dtype=np.int64)
+            extra[unknown] = [len(x) for x in spelled]
+            shift = np.append(0, np.cumsum(extra))
+            flat = np.repeat(flat, extra)
+            flat[flat < 0] = [b for x in spelled for b in x]
+            ends = shift[ends]
+        packed, begins = flat.astype(np.int32).tobytes(), np.append(0, ends[:-1])
+        return [packed[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+
+    def segment(self, word: str, key: int) -> list[int]:
+        """The ids of one word (spaces, then other characters), by agenda with dropout under the word's key."""
         ids, rank, limit = self.ids, self.rank, self.limit
-        key = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), seed=(self.seed * VARIANTS + variant) & _MASK)
         symbols = list(word)
         size = len(symbols)
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
@@ -78,8 +183,8 @@ class Codec:
             if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != length:
                 continue
             if limit:
-                mixed = ((key ^ (left * 0x9E3779B97F4A7C15) ^ (merged * 0xD6E8FEB86659FD93)) * 0xBF58476D1CE4E5B9) & _MASK
-                mixed = ((mixed ^ (mixed >> 29)) * 0x94D049BB133111EB) & _MASK
+                mixed = ((key ^ (left * _PLACE & _MASK) ^ (merged * _PIECE & _MASK)) * _MIX_A) & _MASK
+                mixed = ((mixed ^ (mixed >> 29)) * _MIX_B) & _MASK
                 if mixed >> 32 < limit:
                     continue
             symbols[left] += symbols[right]
@@ -103,16 +208,31 @@ class Codec:
                     out.append(found)
         return out
 
-    def encode(self, text: str, key: int) -> np.ndarray:
-        """The ids of a whole text; `key` stands for its document."""
-        words = _WORD.findall(" " + text)
-        draws = mix64(np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key & _MASK))
-        known = self.remembered
-        variants = (draws & np.uint64(VARIANTS - 1)).tolist()
-        out = np.frombuffer(b"".join([known[v][w] for v, w in zip(variants, words, strict=True)]), dtype=np.int32)
-        for cache in known:
-            if len(cache) > _REMEMBERED:
-                cache.clear()
+    def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
+        """The ids of whole texts; each key stands for the text's document."""
+        known, missing, split = self.remembered, [set() for _ in range(VARIANTS)], []
+        for text, key in zip(texts, keys, strict=True):
+            words = _WORD.findall(" " + text) if text is not None else []
+            variant = key % VARIANTS
+            split.append((variant, words))
+            missing[variant].update(set(words).difference(known[variant]))
+        for variant, words in enumerate(missing):
+            short = [w for w in words if len(w) <= _LONGEST]
+            if short:
+                known[variant].update(zip(short, self.segment_many(short, self.keys(short, variant)), strict=True))
+            for w in words:
+                if len(w) > _LONGEST:
+                    known[variant][w] = np.array(self.segment(w, int(self.keys([w], variant)[0])), dtype=np.int32).tobytes()
+        out = [
+            None if text is None else np.frombuffer(b"".join(map(known[variant].__getitem__, words)), dtype=np.int32)
+            for text, (variant, words) in zip(texts, split, strict=True)
+        ]
+        for variant, words in enumerate(missing):
+            if len(known[variant]) > _REMEMBERED:
+                known[variant].clear()
+            for w in words:
+                if len(w) > _LONGEST:
+                    known[variant].pop(w, None)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -120,20 +240,6 @@ class Codec:
         return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
-class _Remembered(dict):
-    """Packed ids by word for one variant; computed when first asked for."""
-
-    def __init__(self, codec: Codec, variant: int) -> None:
-        super().__init__()
-        self.codec, self.variant = codec, variant
-
-    def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.codec.segment(word, self.variant), dtype=np.int32).tobytes()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
-
-
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -153,38 +259,34 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int
     one is replaced.  An empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = codec(model, dropout, seed)
-        for batch in batches:
-            tokens = [None if t is None else made.encode(t, k) for t, k in zip(batch["text"], batch["__key"], strict=True)]
-            yield batch.drop(columns="__key").assign(tokens=tokens)
+    def run(texts: pa.Array, keys: pa.Array) -> tuple[list]:
+        return (codec(model, dropout, seed).encode(texts.to_pylist(), keys.to_pylist()),)
 
     docs = docs.drop("tokens", "__key")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), "doc_id"))
-    return keyed.mapInPandas(run, f"{fields}, tokens array<int>")
+    return extend(keyed, run, ["text", "__key"], "tokens array<int>", drop=["__key"])
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Adds `decoded`, the text that `tokens` stand for (null for null), to every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(tokens: pa.Array) -> tuple[list]:
         made = codec(model)
-        for batch in batches:
-            yield batch.assign(decoded=[None if t is None else made.decode(t.tolist()) for t in batch["tokens"]])
+        ids, ends = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+        rows = zip(tokens.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True)
+        return ([made.decode(ids[a:b].tolist()) if known else None for known, a, b in rows],)
 
-    encoded = encoded.drop("decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInPandas(run, f"{fields}, decoded string")
+    return extend(encoded.drop("decoded"), run, ["tokens"], "decoded string")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    out = decode(encode(docs).drop("text"))
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
     return out.select(
         "doc_id",
         F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")).cast("binary"), 256).alias("tokens_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+        decoded.alias("decoded_sha256"),
+        decoded.eqNullSafe(F.col("sha")).alias("lossless"),
     )
