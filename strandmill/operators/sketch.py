@@ -63,10 +63,11 @@ def sketch(
     if not callable(algorithm):
         hash_function(algorithm, k)
     group = ["file_name", "ordinal", "name"] if singleton else ["file_name"]
-    made = records.select(*group, sketch_column(F.col("seq"), k, fscale, nmax, algorithm).alias("hashes"))
+    # ids and postings both build on the hashes, so the sequences are read and hashed once
+    made = cut(records.select(*group, sketch_column(F.col("seq"), k, fscale, nmax, algorithm).alias("hashes")))
     hashes = made.select(*group, F.explode("hashes").alias("hash"))
     hashes = hashes.distinct() if nmax is None else bottom_hashes(hashes, group, nmax)
-    listed = records.select(*group).distinct()
+    listed = made.select(*group).distinct()
     sized = hashes.groupBy(*group).agg(F.count("*").alias("num_kmers"))
     same = [listed[c].eqNullSafe(sized[c]) for c in group]
     sized = listed.join(sized, same, "left").select(*[listed[c] for c in group], F.coalesce("num_kmers", F.lit(0)).alias("num_kmers"))
