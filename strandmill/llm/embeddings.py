@@ -7,7 +7,7 @@ by their cosine in double precision.  At a cosine of exactly 0.93 a table finds
 tables miss fewer than one in a thousand; see the test for the measured recall.
 
 Equal vectors with equal labels are one class, so copies never become pairs.  A cell of any size is cut into blocks; a
-task compares two blocks and returns the verified pairs alone.
+tile of two blocks is compared at a time and gives the verified pairs alone.  Tiles are dealt by hash in bounded shares.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from strandmill.llm.common import components, table
 from strandmill.llm.kernels import hash_series, mix64
 
 TABLES, PROBES, SCALE = 8, 16, 1.0
-#: Rows of one block of a cell.
-_BLOCK = 256
+#: Rows of one block of a cell, and of the tiles that are handed to Python at once.
+_BLOCK, _SHARD_ROWS = 256, 4000
 
 
 def _neighbours() -> np.ndarray:
@@ -108,28 +108,47 @@ def _units(vectors) -> np.ndarray:
 
 
 def _verify(least: float):
-    def run(tile: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        one = rows[rows["owns"] & (rows["block"] == tile[2])]
-        two = rows[rows["block"] == tile[3]]
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        if not len(one) or not len(two):
-            return none
-        found = [none]
-        lengths_one, lengths_two = one["embedding"].map(len), two["embedding"].map(len)
-        for width in np.intersect1d(lengths_one.unique(), lengths_two.unique()):
-            left, right = one[lengths_one == width], two[lengths_two == width]
-            cosine = _units(left["embedding"]) @ _units(right["embedding"]).T
-            ids_left, ids_right = left["id"].to_numpy(), right["id"].to_numpy()
-            i, j = np.nonzero((cosine >= least) & (ids_left[:, None] != ids_right[None]))
-            # of two owners of the cell only one order is needed
-            good = ~right["owns"].to_numpy()[j] | (ids_left[i] < ids_right[j])
-            a, b = ids_left[i[good]], ids_right[j[good]]
-            found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-        return pd.concat(found)
+    """Verified pairs of the tiles dealt to one task: owners of block `i` against all rows of block `j`."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tile = rows.groupby(["cell", "label", "i", "j"], sort=False).ngroup().to_numpy()
+        ids, owns, block = rows["id"].to_numpy(), rows["owns"].to_numpy(), rows["block"].to_numpy()
+        as_one, as_two = owns & (block == rows["i"].to_numpy()), block == rows["j"].to_numpy()
+        widths = rows["embedding"].map(len).to_numpy()
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for width in np.unique(widths):
+            same = np.flatnonzero(widths == width)
+            units = np.zeros((len(rows), width))
+            units[same] = _units(rows["embedding"].iloc[same])
+            one, two = (same[side[same]] for side in (as_one, as_two))
+            two = two[np.argsort(tile[two], kind="stable")]
+            first = np.searchsorted(tile[two], tile[one], side="left")
+            count = np.searchsorted(tile[two], tile[one], side="right") - first
+            for part in _runs(count, 50_000):
+                left = np.repeat(one[part], count[part])
+                place = np.arange(len(left)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+                right = two[np.repeat(first[part], count[part]) + place]
+                # of two owners of the cell only one order is needed
+                new = (ids[left] != ids[right]) & (~owns[right] | (ids[left] < ids[right]))
+                left, right = left[new], right[new]
+                near = np.einsum("ij,ij->i", units[left], units[right]) >= least
+                pairs = np.stack([ids[left[near]], ids[right[near]]], axis=1)
+                found.append(np.unique(np.sort(pairs, axis=1), axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     return run
 
 
+def _runs(counts: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive slices with at most about `limit` in total, one element at least."""
+    total = np.cumsum(counts)
+    first = 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + limit, side="right")))
+        yield slice(first, last)
+        first = last
+
+
 def _usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -163,14 +182,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, seed: int = 0) -> Data
     )
     hashed = cut(hashed)
     sizes = hashed.groupBy("cell", "label").agg(F.count("*").alias("n"), F.count_if("owns").alias("owners"))
-    sizes = sizes.where("n > 1 and owners > 0").withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int"))
+    sizes = cut(sizes.where("n > 1 and owners > 0").withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int")))
+    shards = -(-(sizes.agg(F.sum(2 * F.col("n") * F.col("blocks"))).first()[0] or 0) // _SHARD_ROWS) or 1
     placed = hashed.join(sizes, ["cell", "label"]).withColumn("block", F.pmod(F.hash("id"), "blocks"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_owner = placed.where("owns").select("cell", "label", F.col("block").alias("i"), F.explode(others).alias("j"), "id", "owns", "block")
     as_other = placed.select("cell", "label", F.explode(others).alias("i"), F.col("block").alias("j"), "id", "owns", "block")
     tiles = as_owner.union(as_other).distinct().join(classes.select("id", "embedding"), "id")
-    pairs = tiles.groupBy("cell", "label", "i", "j").applyInPandas(_verify(least), "a long, b long").distinct()
-    pairs = cut(pairs)
+    shard = F.pmod(F.xxhash64("cell", "label", "i", "j"), F.lit(shards)).alias("shard")
+    pairs = cut(tiles.groupBy(shard).applyInPandas(_verify(least), "a long, b long").distinct())
     groups = components(pairs)
     weights = classes.select("id", "copies")
     both = pairs.union(pairs.select("b", "a"))
