@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -49,13 +50,36 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return pairs.union(roots.select("a", F.col("a").alias("b"))).toDF("id", "component").distinct()
 
 
+def tidy(run: Callable[[Iterator], Iterator], after: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """Runs `after` and gives freed memory back when a task is done: Python workers wait for later tasks, of other steps too."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if after is not None:
+                after()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def extend(
-    df: DataFrame, function: Callable[..., Sequence], inputs: list[str], added: str, drop: Sequence[str] = (), rows: int = 0
+    df: DataFrame,
+    function: Callable[..., Sequence],
+    inputs: list[str],
+    added: str,
+    drop: Sequence[str] = (),
+    rows: int = 0,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Adds columns that a Python function computes from the Arrow arrays of `inputs`; other columns pass through untouched.
 
     The function gets slices of a batch, cut by the size of the first input (or after `rows` rows), and returns one
-    sequence for each column of the DDL string `added`.  Input columns in `drop` don't stay.
+    sequence for each column of the DDL string `added`.  Input columns in `drop` don't stay.  `after` runs when a task is done.
     """
     new = T.StructType.fromDDL(added)
     old = [f for f in df.schema.fields if f.name not in drop]
@@ -70,15 +94,16 @@ def extend(
                 arrays += [pa.array(values, type=t, from_pandas=True) for values, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in old), *new.names])
 
-    return df.mapInArrow(run, T.StructType([*old, *new.fields]))
+    return df.mapInArrow(tidy(run, after), T.StructType([*old, *new.fields]))
 
 
-def _slices(column: pa.Array, rows: int, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, rows: int, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Slices of about `limit` bytes (or list values), one row at least."""
     if rows:
         ends = np.arange(rows, len(column) + rows, rows)
     else:
-        sizes = pc.binary_length(column) if pa.types.is_string(column.type) else pc.list_value_length(column)
+        listed = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+        sizes = pc.list_value_length(column) if listed else pc.binary_length(column)
         total = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
         ends = np.flatnonzero(np.diff(total // limit, append=-1)) + 1
     first = 0

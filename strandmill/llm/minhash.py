@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.lineage import cut
-from strandmill.llm.common import components, extend, row_key, table
+from strandmill.llm.common import components, extend, row_key, table, tidy
 from strandmill.llm.kernels import SPACE_SEPARATED, hash_series, mix64, slices, word_hashes
 
 SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
 RADIUS = 2 * CHUNKS - 1
 #: Rows of one block of a bucket, and of one block of sets; a task compares two blocks at a time.
-BUCKET_BLOCK, SET_BLOCK = 512, 128
+BUCKET_BLOCK, SET_BLOCK = 1024, 128
 
 _MULTIPLY = hash_series(SYMBOLS, 1) | np.uint64(1)
 _ADD = hash_series(SYMBOLS, 2)
@@ -169,20 +169,32 @@ def _bucket_tile(tile: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         exact = errors[np.arange(len(pick)), first] == 0
         place = differ[np.arange(len(pick)), chunk * CHUNK + out_of]
         good = (errors.sum(axis=1) <= RADIUS) & (first == chunk) & np.where(exact, out_of == 0, place)
-        for b in np.unique(blocks[pick[good]]):
-            mates = ids[pick[good & (blocks[pick] == b)]]
-            out.append((min(r.set_block, b), max(r.set_block, b), r.id, r.set_block, b, mates))
-    return pd.DataFrame(out, columns=["tile_a", "tile_b", "id", "own", "other", "mates"])
+        mates = pick[good]
+        out.append((np.full(len(mates), r.id), ids[mates], np.full(len(mates), r.set_block), blocks[mates]))
+    columns = ["tile_a", "tile_b", "one", "two"]
+    if not out:
+        return pd.DataFrame([], columns=columns)
+    first, second, own, other = (np.concatenate(x) for x in zip(*out, strict=True))
+    asked = pd.DataFrame({"tile_a": np.minimum(own, other), "tile_b": np.maximum(own, other), "one": first, "two": second})
+    packed = [(*key, g["one"].to_numpy(), g["two"].to_numpy()) for key, g in asked.groupby(["tile_a", "tile_b"])]
+    return pd.DataFrame(packed, columns=columns)
+
+
+def _merge_tile(tile: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that all buckets ask of two blocks of sets, and the ids in them: no more than the blocks hold."""
+    one, two = np.concatenate(rows["one"].tolist()), np.concatenate(rows["two"].tolist())
+    columns = ["tile_a", "tile_b", "members", "one", "two"]
+    return pd.DataFrame([(*tile, np.unique(np.concatenate([one, two])), one, two)], columns=columns)
 
 
 def _confirm_tile(percent: int):
     def run(tile: tuple, sets: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         items = {i: _unpack(x) for i, x in zip(sets["id"], sets["items"], strict=True)}
         links = [
-            (r.id, m)
+            (a, b)
             for r in wanted.itertuples()
-            for m in r.mates
-            if r.id in items and m in items and _similar(items[r.id], items[m], percent)
+            for a, b in zip(r.one.tolist(), r.two.tolist(), strict=True)
+            if a in items and b in items and _similar(items[a], items[b], percent)
         ]
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
@@ -191,7 +203,7 @@ def _confirm_tile(percent: int):
 
 def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all similar classes; `signed` has the classes' id, text keys, signature."""
-    keys = signed.select("id", "signature").mapInPandas(_keys, "key long, id long")
+    keys = signed.select("id", "signature").mapInPandas(tidy(_keys), "key long, id long")
     buckets = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     shared = cut(keys.join(buckets, "key"))
     stars = shared.where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
@@ -201,13 +213,13 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
     texts = docs.select(F.col("doc_id").alias("id"), *row_key("text"), "text")
     texts = texts.join(involved, ["id", "__key_a", "__key_b"]).groupBy("id", "__key_a", "__key_b")
     texts = texts.agg(F.first("text").alias("text"), F.first("signature").alias("signature"))
-    known = cut(texts.select("id", "signature", "text").mapInPandas(_sets(width), "id long, signature binary, items binary"))
+    known = cut(texts.select("id", "signature", "text").mapInPandas(tidy(_sets(width)), "id long, signature binary, items binary"))
     sets = known.select("id", "items")
 
     one = known.select(F.col("id").alias("a"), F.col("items").alias("set_a"), F.col("signature").alias("sig_a"))
     two = known.select(F.col("id").alias("b"), F.col("items").alias("set_b"), F.col("signature").alias("sig_b"))
     judged = stars.join(one, "a").join(two, "b")
-    judged = cut(judged.mapInPandas(_confirm_pairs(percent), "a long, b long, near boolean, linked boolean"))
+    judged = cut(judged.mapInPandas(tidy(_confirm_pairs(percent)), "a long, b long, near boolean, linked boolean"))
     found = judged.where("linked").select("a", "b")
 
     labels = components(found)
@@ -241,16 +253,15 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
             F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
         )
     )
-    wanted = cut(
-        tiles.groupBy("key", "low", "high").applyInPandas(
-            _bucket_tile, "tile_a long, tile_b long, id long, own long, other long, mates array<long>"
-        )
+    met = tiles.groupBy("key", "low", "high").applyInPandas(
+        _bucket_tile, "tile_a long, tile_b long, one array<long>, two array<long>"
     )
-    pairs = wanted.select("tile_a", "tile_b").distinct()
-    blocks = pairs.select("*", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("set_block"))
-    members = blocks.join(nodes.select("set_block", "id"), "set_block").join(sets, "id")
+    wanted = "tile_a long, tile_b long, members array<long>, one array<long>, two array<long>"
+    wanted = cut(met.groupBy("tile_a", "tile_b").applyInPandas(_merge_tile, wanted))
+    members = wanted.select("tile_a", "tile_b", F.explode("members").alias("id")).join(sets, "id")
     members = members.select("tile_a", "tile_b", "id", "items").toDF("side_a", "side_b", "id", "items")
-    more = members.groupBy("side_a", "side_b").cogroup(wanted.groupBy("tile_a", "tile_b")).applyInPandas(
+    asked = wanted.select("tile_a", "tile_b", "one", "two")
+    more = members.groupBy("side_a", "side_b").cogroup(asked.groupBy("tile_a", "tile_b")).applyInPandas(
         _confirm_tile(percent), "a long, b long"
     )
     return found.union(cut(more))
