@@ -48,7 +48,8 @@ def _windows(records: DataFrame, k: int) -> DataFrame:
     """(ordinal, kmer): canonical k-mers as strings, in built-in functions."""
     runs = records.select("ordinal", F.explode(F.regexp_extract_all(normalise(F.col("seq")), F.lit(f"([ACGT]{{{k},}})"))).alias("run"))
     starts = F.sequence(F.lit(1), F.length("run") - k + 1)
-    kmer = runs.select("ordinal", "run", F.explode(starts).alias("i")).select("ordinal", F.substring("run", F.col("i"), F.lit(k)).alias("kmer"))
+    kmer = runs.select("ordinal", "run", F.explode(starts).alias("i"))
+    kmer = kmer.select("ordinal", F.substring("run", F.col("i"), F.lit(k)).alias("kmer"))
     return kmer.select("ordinal", F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"))
 
 

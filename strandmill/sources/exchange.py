@@ -16,7 +16,8 @@ LABELS = {"murmur3": "0.murmur64", "xxhash": "0.xxhash3", "ahash": "0.ahash", "d
 
 def _bits(value):
     """The BIGINT with the bits of an unsigned DECIMAL(20, 0)."""
-    return F.when(value >= F.lit(str(1 << 63)).cast("decimal(20,0)"), value - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(value).cast("bigint")
+    half, whole = (F.lit(str(1 << n)).cast("decimal(20,0)") for n in (63, 64))
+    return F.when(value >= half, value - whole).otherwise(value).cast("bigint")
 
 
 def read_exchange(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> Sketches:
