@@ -1,7 +1,7 @@
 """Vectorised word hashing shared by the Python-backed operators.
 
 Texts are hashed as UTF-8 bytes.  Every word gets a 64-bit hash of its bytes; work is done in pieces
-of about a megabyte cut between words, so memory stays bounded for texts of any length.
+of about half a megabyte cut between words, so memory stays bounded for texts of any length.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _MULTIPLIER = 0x9E6C63D0876A9A6B
 
 

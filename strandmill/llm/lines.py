@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.lineage import cut
-from strandmill.llm.common import extend, row_key, table
+from strandmill.llm.common import extend, row_key, table, tidy
 
 _LINES_PER_SEGMENT, _BITS_PER_LINE, _PROBES = 1024, 16, 4
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -140,7 +140,7 @@ def drop_repeated_lines(
     segments = max(1, -(-lines // _LINES_PER_SEGMENT))
     segment_bits = max(8, min(_LINES_PER_SEGMENT * _BITS_PER_LINE, max_filter_bits // segments) // 8 * 8)
 
-    inserts = texts.mapInPandas(_insert(segments, min_chars), "segment long, hashes binary, again binary")
+    inserts = texts.mapInPandas(tidy(_insert(segments, min_chars)), "segment long, hashes binary, again binary")
     merged = inserts.groupBy("segment").applyInPandas(_segment_filter(segment_bits), "segment long, twice binary")
     places, filters = np.full(segments, -1, dtype=np.int64), []
     for segment, bits in merged.where(F.ltrim(F.hex("twice"), F.lit("0")) != "").toLocalIterator():
@@ -152,7 +152,7 @@ def drop_repeated_lines(
     keyed = docs.withColumns(dict(zip(("__key_a", "__key_b"), row_key("doc_id", "text"), strict=True)))
     schema = "digest string, __key_a long, __key_b long"
     suspects = keyed.select("text", "__key_a", "__key_b").mapInPandas(
-        _suspects(shared, segments, segment_bits, min_chars), schema
+        tidy(_suspects(shared, segments, segment_bits, min_chars)), schema
     )
     suspects = cut(suspects)
     repeated = suspects.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("digest")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.lineage import cut, discard, store
-from strandmill.llm.common import extend, row_key, table
+from strandmill.llm.common import extend, row_key, table, tidy
 from strandmill.llm.kernels import SPACE_SEPARATED, mix64, slices, word_hashes
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,7 +177,7 @@ def repeated_spans(classes: DataFrame, texts: DataFrame, window: int, phrase: in
     recurring = cut(recurring.join(classes.select("class", *_KEYS, "doc"), "class"))
     schema = "class long, phrase long, begin long, words string, windows array<long>"
     wide = texts.join(recurring, [*_KEYS, "doc"]).select("class", "text", "recurring")
-    contexts = wide.mapInPandas(_contexts(window, phrase), schema)
+    contexts = wide.mapInPandas(tidy(_contexts(window, phrase)), schema)
     contexts, path = store(contexts.withColumn("context", F.monotonically_increasing_id()))
 
     places = contexts.select("context", F.posexplode("windows").alias("place", "hash"))
@@ -216,7 +216,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, phrase: int = 16)
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
     texts = docs.where("text is not null").select(*row_key("text"), doc, "text")
     schema = "__key_a long, __key_b long, doc string, phrases array<long>"
-    picked = texts.mapInPandas(_pick(window, phrase), schema)
+    picked = texts.mapInPandas(tidy(_pick(window, phrase)), schema)
     classes = picked.groupBy(*_KEYS).agg(F.first("phrases").alias("phrases"), F.min("doc").alias("doc"), F.count("*").alias("n"))
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()))
     spans = repeated_spans(classes.where("phrases is not null"), texts, window, phrase)

@@ -26,7 +26,7 @@ VARIANTS = 2
 _WORD = re.compile(r" +[^ ]*")
 _MASK = (1 << 64) - 1
 #: Segmentations that a worker remembers for each variant, and the longest word whose agenda advances with others.
-_REMEMBERED, _LONGEST = 160_000, 200
+_REMEMBERED, _LONGEST = 120_000, 200
 _SLOT_BITS = 20
 _NEVER = np.int32(2**31 - 1)
 _PLACE, _PIECE, _MIX_A, _MIX_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -61,7 +61,7 @@ class Codec:
 
     def _tables(self) -> None:
         """Arrays for many words at once: symbols of single characters, and every merge by its pair of symbols."""
-        self.symbol = np.full(0x110000, -1, dtype=np.int64)
+        self.symbol = np.full(0x110000, -1, dtype=np.int32)
         pairs = []
         for text, i in self.ids.items():
             if len(text) == 1:
@@ -88,10 +88,14 @@ class Codec:
     def _slot(code: np.ndarray) -> np.ndarray:
         return ((code.astype(np.uint64) * np.uint64(_PLACE)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
-    def keys(self, words: list[str], variant: int) -> np.ndarray:
-        """The dropout keys of non-empty words for a variant under the seed."""
+    @staticmethod
+    def _spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of non-empty words and the words' lengths."""
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        return chars, np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+
+    def keys(self, chars: np.ndarray, lengths: np.ndarray, variant: int) -> np.ndarray:
+        """The dropout keys of spelled words for a variant under the seed."""
         first = np.cumsum(lengths) - lengths
         place = (np.arange(len(chars)) - np.repeat(first, lengths)).astype(np.uint64)
         mixed = mix64(chars.astype(np.uint64) | (place << np.uint64(32)))
@@ -100,7 +104,7 @@ class Codec:
 
     def _propose(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For pairs of neighbours the order of their candidate, never where there is none or it is skipped, and its piece."""
-        code = left * len(self.raw) + right
+        code = left.astype(np.int64) * len(self.raw) + right
         slot = self._slot(code)
         there, made = self.slot_code[slot] == code, self.slot_makes[slot]
         other = np.flatnonzero(~there & self.shared[slot])
@@ -115,27 +119,28 @@ class Codec:
             there &= (mixed >> np.uint64(32)) >= self.limit
         return np.where(there, self.order[made], _NEVER), made
 
-    def segment_many(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+    def segment_many(self, words: list[str], variant: int) -> list[bytes]:
         """The packed ids of many non-empty words; every round merges the best candidate of each word's agenda."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        word = np.repeat(np.arange(len(words)), lengths)
+        chars, lengths = self._spell(words)
+        keys = self.keys(chars, lengths, variant)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         first_char = np.cumsum(lengths) - lengths
-        char = np.arange(len(chars))
+        char = np.arange(len(chars), dtype=np.int32)
         symbol = self.symbol[chars]
         inside = np.append(word[1:] == word[:-1], False)
-        order, made = self._propose(symbol, np.append(symbol[1:], -1), keys[word], char - first_char[word])
+        order, made = self._propose(symbol, np.append(symbol[1:], np.int32(-1)), keys[word], char - first_char[word])
         order[~inside] = _NEVER
         done = []
         while len(word):
-            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(heads, len(word)))
             best = np.repeat(np.minimum.reduceat(order, heads), sizes)
             live = best < _NEVER
             done.append((char[~live], symbol[~live]))
             word, char, symbol, order, made, best = (x[live] for x in (word, char, symbol, order, made, best))
             spots = np.flatnonzero(order == best)
-            spots = spots[np.diff(word[spots], prepend=-1) != 0]
+            owner = word[spots]
+            spots = spots[np.append(True, owner[1:] != owner[:-1])] if len(spots) else spots
             symbol[spots] = made[spots]
             stay = np.ones(len(word), dtype=bool)
             stay[spots + 1] = False
@@ -162,8 +167,9 @@ class Codec:
         packed, begins = flat.astype(np.int32).tobytes(), np.append(0, ends[:-1])
         return [packed[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
 
-    def segment(self, word: str, key: int) -> list[int]:
-        """The ids of one word (spaces, then other characters), by agenda with dropout under the word's key."""
+    def segment(self, word: str, variant: int) -> list[int]:
+        """The ids of one word (spaces, then other characters), by an agenda of its own."""
+        key = int(self.keys(*self._spell([word]), variant)[0])
         ids, rank, limit = self.ids, self.rank, self.limit
         symbols = list(word)
         size = len(symbols)
@@ -219,22 +225,29 @@ class Codec:
         for variant, words in enumerate(missing):
             short = [w for w in words if len(w) <= _LONGEST]
             if short:
-                known[variant].update(zip(short, self.segment_many(short, self.keys(short, variant)), strict=True))
+                known[variant].update(zip(short, self.segment_many(short, variant), strict=True))
             for w in words:
                 if len(w) > _LONGEST:
-                    known[variant][w] = np.array(self.segment(w, int(self.keys([w], variant)[0])), dtype=np.int32).tobytes()
+                    known[variant][w] = np.array(self.segment(w, variant), dtype=np.int32).tobytes()
         out = [
             None if text is None else np.frombuffer(b"".join(map(known[variant].__getitem__, words)), dtype=np.int32)
             for text, (variant, words) in zip(texts, split, strict=True)
         ]
         for variant, words in enumerate(missing):
-            if len(known[variant]) > _REMEMBERED:
-                known[variant].clear()
             for w in words:
                 if len(w) > _LONGEST:
                     known[variant].pop(w, None)
+            if len(known[variant]) > _REMEMBERED:
+                # the words of these texts stay: the frequent ones are among them
+                recent = set().union(*[w for v, w in split if v == variant])
+                known[variant] = {w: known[variant][w] for w in recent if w in known[variant]}
         return out
 
+    def forget(self) -> None:
+        """Drops what was remembered of words."""
+        for known in self.remembered:
+            known.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
@@ -264,7 +277,8 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int
 
     docs = docs.drop("tokens", "__key")
     keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), "doc_id"))
-    return extend(keyed, run, ["text", "__key"], "tokens array<int>", drop=["__key"])
+    forget = lambda: codec(model, dropout, seed).forget()
+    return extend(keyed, run, ["text", "__key"], "tokens array<int>", drop=["__key"], after=forget)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
