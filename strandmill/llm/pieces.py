@@ -2,16 +2,15 @@
 
 A merge-type (BPE) model is applied with an agenda of candidate merges, best score first and leftmost among equals.  A
 candidate that is taken from the agenda is skipped if its keyed hash falls below the dropout rate; the key is the seed,
-the word, its variant, the candidate's place and the piece it would make.  A document's variant comes from a keyed
-hash of its doc_id, so a word is segmented in up to `VARIANTS` ways throughout the corpus for each seed, and every run
-gives the same ids.  The agendas of many words advance together in numpy, each by its best candidate in a round; very long words
-have a heap of their own.  Symbols outside the vocabulary become byte pieces, so decoding always returns the text.
+the document (doc_id and text), the word's position in it, the candidate's place and the piece it would make.  So every
+occurrence of a word is segmented by draws of its own, and every run gives the same ids.  The agendas of many words advance
+together in numpy, each by its best candidate in a round; very long words have a heap of their own.  Symbols outside the
+vocabulary become byte pieces, so decoding always returns the text.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +21,9 @@ from strandmill.llm.common import extend, table
 from strandmill.llm.kernels import mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-VARIANTS = 2
-_WORD = re.compile(r" +[^ ]*")
 _MASK = (1 << 64) - 1
-#: Segmentations that a worker remembers for each variant, and the longest word whose agenda advances with others.
-_REMEMBERED, _LONGEST = 120_000, 200
+#: The longest word whose agenda advances with others, and about how many characters do so at once.
+_LONGEST, _TOGETHER = 200, 1 << 17
 _SLOT_BITS = 20
 _NEVER = np.int32(2**31 - 1)
 _PLACE, _PIECE, _MIX_A, _MIX_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -56,7 +53,6 @@ class Codec:
                 text = piece.replace("▁", " ")
                 self.ids[text] = i
                 self.raw.append(text.encode())
-        self.remembered: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
         self._tables()
 
     def _tables(self) -> None:
@@ -88,20 +84,6 @@ class Codec:
     def _slot(code: np.ndarray) -> np.ndarray:
         return ((code.astype(np.uint64) * np.uint64(_PLACE)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
-    @staticmethod
-    def _spell(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The characters of non-empty words and the words' lengths."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        return chars, np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-
-    def keys(self, chars: np.ndarray, lengths: np.ndarray, variant: int) -> np.ndarray:
-        """The dropout keys of spelled words for a variant under the seed."""
-        first = np.cumsum(lengths) - lengths
-        place = (np.arange(len(chars)) - np.repeat(first, lengths)).astype(np.uint64)
-        mixed = mix64(chars.astype(np.uint64) | (place << np.uint64(32)))
-        own = np.uint64((self.seed * VARIANTS + variant) * _PLACE & _MASK)
-        return mix64(np.add.reduceat(mixed, first) ^ own)
-
     def _propose(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For pairs of neighbours the order of their candidate, never where there is none or it is skipped, and its piece."""
         code = left.astype(np.int64) * len(self.raw) + right
@@ -119,11 +101,9 @@ class Codec:
             there &= (mixed >> np.uint64(32)) >= self.limit
         return np.where(there, self.order[made], _NEVER), made
 
-    def segment_many(self, words: list[str], variant: int) -> list[bytes]:
-        """The packed ids of many non-empty words; every round merges the best candidate of each word's agenda."""
-        chars, lengths = self._spell(words)
-        keys = self.keys(chars, lengths, variant)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    def _advance(self, chars: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many non-empty words and where each word's end; every round merges the best candidate of each word's agenda."""
+        word = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         first_char = np.cumsum(lengths) - lengths
         char = np.arange(len(chars), dtype=np.int32)
         symbol = self.symbol[chars]
@@ -164,12 +144,17 @@ class Codec:
             flat = np.repeat(flat, extra)
             flat[flat < 0] = [b for x in spelled for b in x]
             ends = shift[ends]
-        packed, begins = flat.astype(np.int32).tobytes(), np.append(0, ends[:-1])
-        return [packed[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return flat.astype(np.int32, copy=False), ends
 
-    def segment(self, word: str, variant: int) -> list[int]:
-        """The ids of one word (spaces, then other characters), by an agenda of its own."""
-        key = int(self.keys(*self._spell([word]), variant)[0])
+    def segment_many(self, words: list[str], key: int) -> list[bytes]:
+        """The packed ids of many non-empty words that are segmented together, all with one dropout key."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        flat, ends = self._advance(chars, lengths, np.full(len(words), key, dtype=np.uint64))
+        return [x.tobytes() for x in np.split(flat, ends[:-1])]
+
+    def segment(self, word: str, key: int) -> list[int]:
+        """The ids of one word (spaces, then other characters) with a dropout key, by an agenda of its own."""
         ids, rank, limit = self.ids, self.rank, self.limit
         symbols = list(word)
         size = len(symbols)
@@ -216,37 +201,54 @@ class Codec:
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
         """The ids of whole texts; each key stands for the text's document."""
-        known, missing, split = self.remembered, [set() for _ in range(VARIANTS)], []
-        for text, key in zip(texts, keys, strict=True):
-            words = _WORD.findall(" " + text) if text is not None else []
-            variant = key % VARIANTS
-            split.append((variant, words))
-            missing[variant].update(set(words).difference(known[variant]))
-        for variant, words in enumerate(missing):
-            short = [w for w in words if len(w) <= _LONGEST]
-            if short:
-                known[variant].update(zip(short, self.segment_many(short, variant), strict=True))
-            for w in words:
-                if len(w) > _LONGEST:
-                    known[variant][w] = np.array(self.segment(w, variant), dtype=np.int32).tobytes()
-        out = [
-            None if text is None else np.frombuffer(b"".join(map(known[variant].__getitem__, words)), dtype=np.int32)
-            for text, (variant, words) in zip(texts, split, strict=True)
-        ]
-        for variant, words in enumerate(missing):
-            for w in words:
-                if len(w) > _LONGEST:
-                    known[variant].pop(w, None)
-            if len(known[variant]) > _REMEMBERED:
-                # the words of these texts stay: the frequent ones are among them
-                recent = set().union(*[w for v, w in split if v == variant])
-                known[variant] = {w: known[variant][w] for w in recent if w in known[variant]}
+        known = [i for i, text in enumerate(texts) if text is not None]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if not known:
+            return out
+        chars = np.frombuffer("".join([" " + texts[i] for i in known]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.array([len(texts[i]) + 1 for i in known])
+        first = np.cumsum(sizes) - sizes
+        # a word is a run of spaces and the other characters after it
+        begins = chars == 0x20
+        begins[1:] &= chars[:-1] != 0x20
+        begins[first] = True
+        begins = np.flatnonzero(begins)
+        lengths = np.diff(begins, append=len(chars))
+        head = np.searchsorted(begins, first)
+        words = np.diff(head, append=len(begins))
+        own = mix64(np.array([(keys[i] + self.seed * _MIX_A) & _MASK for i in known], dtype=np.uint64))
+        position = (np.arange(len(begins)) - np.repeat(head, words)).astype(np.uint64)
+        drawn = mix64(np.repeat(own, words) + position * np.uint64(_PLACE))
+        parts, counts, a = [], np.empty(len(begins), dtype=np.int64), 0
+        while a < len(begins):
+            b = max(a + 1, int(np.searchsorted(begins, begins[a] + _TOGETHER)))
+            parts.append(self._segment_run(chars[begins[a] : begins[b - 1] + lengths[b - 1]], lengths[a:b], drawn[a:b], counts[a:b]))
+            a = b
+        flat, ends = np.concatenate(parts), np.cumsum(counts)
+        last = ends[head + words - 1].tolist()
+        for i, start, end in zip(known, [0, *last[:-1]], last, strict=True):
+            out[i] = flat[start:end]
         return out
 
-    def forget(self) -> None:
-        """Drops what was remembered of words."""
-        for known in self.remembered:
-            known.clear()
+    def _segment_run(self, chars: np.ndarray, lengths: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The ids of consecutive words, each with its own dropout key; sets how many each word has."""
+        short = lengths <= _LONGEST
+        if short.all():
+            flat, ends = self._advance(chars, lengths, keys)
+            counts[:] = np.diff(ends, prepend=0)
+            return flat
+        first, made = np.cumsum(lengths) - lengths, []
+        for k in np.flatnonzero(~short):
+            word = chars[first[k] : first[k] + lengths[k]].tobytes().decode("utf-32-le", "surrogatepass")
+            made.append(np.array(self.segment(word, int(keys[k])), dtype=np.int32))
+        counts[~short] = [len(x) for x in made]
+        flat = np.empty(0, dtype=np.int32)
+        if short.any():
+            flat, ends = self._advance(chars[np.repeat(short, lengths)], lengths[short], keys[short])
+            counts[short] = np.diff(ends, prepend=0)
+        out, place = np.empty(int(counts.sum()), dtype=np.int32), np.repeat(short, counts)
+        out[place], out[~place] = flat, np.concatenate(made)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -268,17 +270,16 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int
     """Adds `tokens` (array<int>) to every row of `docs` (doc_id, text, ...).
 
     A null text has null tokens and an empty text one token, the space that the model puts first.  Rows with the same doc_id and
-    text get the same tokens; a null doc_id is a key like any other.  Extra columns pass through; a column named like the added
-    one is replaced.  An empty table gives an empty result.
+    text get the same tokens, and any others draws of their own; a null doc_id is a key like any other.  Extra columns
+    pass through; a column named like the added one is replaced.  An empty table gives an empty result.
     """
 
     def run(texts: pa.Array, keys: pa.Array) -> tuple[list]:
         return (codec(model, dropout, seed).encode(texts.to_pylist(), keys.to_pylist()),)
 
     docs = docs.drop("tokens", "__key")
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), "doc_id"))
-    forget = lambda: codec(model, dropout, seed).forget()
-    return extend(keyed, run, ["text", "__key"], "tokens array<int>", drop=["__key"], after=forget)
+    keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    return extend(keyed, run, ["text", "__key"], "tokens array<int>", drop=["__key"])
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -156,6 +156,31 @@ def test_dropout_varies_and_decodes(documents, corpus, no_documents):
     assert len({tuple(c.tolist()) for v in range(2) for c in pieces.Codec(pieces.MODEL, 0.1, 0).encode([prose(1, 300)], [v])}) == 2
 
 
+def test_every_occurrence_has_draws_of_its_own(spark, monkeypatch):
+    codec, text = pieces.Codec(pieces.MODEL, 0.1, 0), " ".join(["international"] * 400 + ["a"] * 20_000)
+    found = codec.encode([text, None, text, "x" * 300 + " international " * 50], [5, 6, 7, 8])
+    splits = []
+    for ids in (found[0], found[2], found[3]):
+        whole = b"".join(codec.raw[i] for i in ids).decode()
+        marks, at = set(), 0
+        for i in ids.tolist():
+            marks.add(at)
+            at += len(codec.raw[i])
+        starts = [m.start() for m in re.finditer(" international", whole)]
+        splits.append([tuple(k for k in range(1, 14) if s + k in marks) for s in starts])
+    assert [len(x) for x in splits] == [400, 400, 50] and all(len(set(x)) > 8 for x in splits)
+    assert found[1] is None and splits[0] != splits[1]
+    monkeypatch.setattr(pieces, "_TOGETHER", 1000)  # which words advance together changes nothing
+    assert np.array_equal(codec.encode([text], [7])[0], found[2]) and np.array_equal(codec.encode(["x" * 300 + " international " * 50], [8])[0], found[3])
+    # " a" is one merge: it is skipped at the dropout rate, wherever it stands
+    single = codec.ids[" a"]
+    skipped = 1 - np.mean([np.sum(ids == single) / 20_000 for ids in (found[0], found[2])])
+    assert 0.09 < skipped < 0.11
+    copies = spark.createDataFrame([(i, prose(1, 30)) for i in range(200)] + [(None, prose(1, 30) + "!"), (None, prose(1, 30) + "?")], "doc_id long, text string")
+    out = pieces.encode(copies).collect()
+    assert len({tuple(r["tokens"][:-1]) for r in out}) == 202
+
+
 # licences
 
 
