@@ -3,7 +3,8 @@
 Texts are reduced to letters (bytes of A-Z, lower-cased, a-z and non-ASCII) with single spaces between runs; bigrams and
 trigrams of these bytes are hashed into `DIMENSIONS` counts.  Vectors are `log(1 + count) * idf`, normalised.  Each
 language has several centroids, from spherical k-means on a bounded sample of its labelled rows; a document gets the
-language of the centroid with the largest cosine and is rejected if even that one is too far away.
+language of the centroid with the largest cosine and is rejected if even that one is too far away.  How far is too far is
+measured for each language and length of text: rows of the sample, whole and cut short, against centroids of the other half.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from strandmill.llm.common import extend, table
 from strandmill.llm.kernels import slices
 
 DIMENSIONS = 4096
+#: Characters that rows of the sample are cut to, and the length classes (by binary logarithm of the n-grams in a text).
+CLIPS, CLASSES = (16, 48, 128, 320, 800), 16
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -72,28 +75,38 @@ class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
-    #: The language of each centroid and the least cosine it accepts.
+    #: The language of each centroid, whether it has enough rows to accept texts, and the least cosine by language and length class.
     of: np.ndarray
+    common: np.ndarray
     floor: np.ndarray
 
     def vectors(self, rows: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(rows.astype(np.float32)) * self.idf)
 
-    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest centroid, its cosine and whether the nearest of the common ones is too far away."""
         cosine = self.vectors(rows) @ self.centroids.T
         best = cosine.argmax(axis=1)
-        return best, np.clip(cosine[np.arange(len(best)), best], 0, 1)
+        far = cosine[:, self.common].max(axis=1) < self.least(best, rows.sum(axis=1))
+        return best, np.clip(cosine[np.arange(len(best)), best], 0, 1), far
 
 
-def fit(rows: np.ndarray, langs: list[str], clusters: int, rounds: int = 10, slack: float = 0.25) -> Model:
-    """Fits centroids; `slack` times the lowest hundredth of a cluster's own cosines is its rejection floor."""
-    languages = sorted(set(langs))
-    labels = np.array([languages.index(x) for x in langs])
+    def least(self, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The least cosines accepted for texts of so many n-grams, between the length classes' middles by interpolation."""
+        at = np.clip(np.log2(np.maximum(sizes, 1)) - 0.5, 0, CLASSES - 1)
+        low = at.astype(int)
+        floor = self.floor[self.of[best]]
+        each = np.arange(len(low))
+        return floor[each, low] * (1 - at + low) + floor[each, np.minimum(low + 1, CLASSES - 1)] * (at - low)
+
+
+def _learn(rows: np.ndarray, labels: np.ndarray, languages: list[str], clusters: int, rounds: int) -> Model:
+    """A model that rejects nothing."""
     idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(languages, idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0))
+    model = Model(languages, idf, np.empty((0, DIMENSIONS), np.float32), np.empty(0, int), np.empty(0, bool), np.zeros((len(languages), CLASSES)))
     vectors = model.vectors(rows)
-    centroids, of, floors = [], [], []
-    for k in range(len(languages)):
+    centroids, of, common = [], [], []
+    for k in np.unique(labels).tolist():
         own = vectors[labels == k]
         centre = own[np.linspace(0, len(own) - 1, min(clusters, len(own))).astype(int)]
         for _ in range(rounds):
@@ -102,11 +115,62 @@ def fit(rows: np.ndarray, langs: list[str], clusters: int, rounds: int = 10, sla
             np.add.at(sums, nearest, own)
             used = np.bincount(nearest, minlength=len(centre)) > 0
             centre = _unit(sums[used])
-        closest = (own @ centre.T).max(axis=1)
+        # a centroid of a few odd rows, such as mislabelled ones, would let another language in
+        members = np.bincount((own @ centre.T).argmax(axis=1), minlength=len(centre))
+        common.append(4 * clusters * members >= len(own))
         centroids.append(centre)
         of += [k] * len(centre)
-        floors += [slack * float(np.quantile(closest, 0.01))] * len(centre)
-    model.centroids, model.of, model.floor = np.concatenate(centroids), np.array(of), np.array(floors)
+    model.centroids, model.of, model.common = np.concatenate(centroids), np.array(of), np.concatenate(common)
+    return model
+
+
+def _floors(sizes: np.ndarray, cosines: np.ndarray, share: float, least: int = 50) -> np.ndarray:
+    """`share` times the lowest twentieth of the cosines in each length class, so that a few odd rows don't set it.
+
+    No floor is above that of longer texts.  Classes of under `least` texts (but never the fullest) take their neighbours'
+    values; below the shortest class left, floors end, as a few letters tell too little.
+    """
+    kinds = np.clip(np.log2(np.maximum(sizes, 1)).astype(int), 0, CLASSES - 1)
+    if not len(kinds):
+        return np.zeros(CLASSES)
+    texts = np.bincount(kinds, minlength=CLASSES)
+    known = np.flatnonzero(texts >= min(least, texts.max()))
+    low = [share * float(np.quantile(cosines[kinds == k], 0.05)) for k in known]
+    low = np.minimum.accumulate(low[::-1])[::-1]
+    return np.interp(np.arange(CLASSES), [known[0] - 1, *known], [0.0, *low])
+
+
+def fit(rows: np.ndarray, langs: list[str], starts: list[str], clusters: int, rounds: int = 10, share: float = 0.6) -> Model:
+    """Fits centroids and floors; `starts` has the texts' beginnings.
+
+    A language's floors come from the cosines of its rows, whole and cut to `CLIPS`, to its centroids as learned from the
+    other half of the rows.  A language of a single row has none and rejects nothing.
+    """
+    languages = sorted(set(langs))
+    labels = np.array([languages.index(x) for x in langs])
+    model = _learn(rows, labels, languages, clusters, rounds)
+    sizes: list[list] = [[] for _ in languages]
+    cosines: list[list] = [[] for _ in languages]
+    turn = np.zeros(len(labels), dtype=int)
+    for k in range(len(languages)):
+        turn[labels == k] = np.arange((labels == k).sum()) % 2
+    for half in (0, 1):
+        if not (turn != half).any():
+            continue
+        other = _learn(rows[turn != half], labels[turn != half], languages, clusters, rounds)
+        for k in np.unique(other.of).tolist():
+            chosen = np.flatnonzero((labels == k) & (turn == half))
+            if not len(chosen):
+                continue
+            own = other.centroids[(other.of == k) & other.common].T
+            for clip in (None, *CLIPS):
+                part = rows[chosen] if clip is None else counts([starts[i][:clip] for i in chosen])
+                part = part[part.any(axis=1)]
+                sizes[k].append(part.sum(axis=1))
+                cosines[k].append((other.vectors(part) @ own).max(axis=1))
+    for k in range(len(languages)):
+        if sizes[k]:
+            model.floor[k] = _floors(np.concatenate(sizes[k]), np.concatenate(cosines[k]), share)
     return model
 
 
@@ -120,7 +184,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = batch["text"].tolist()
         for part in slices(texts):
             packed = [row.astype(np.int32).tobytes() for row in counts(texts[part])]
-            yield pd.DataFrame({"lang": batch["lang"].iloc[part], "rank": batch["rank"].iloc[part], "row": packed})
+            starts = [text[: CLIPS[-1]] for text in texts[part]]
+            yield pd.DataFrame({"lang": batch["lang"].iloc[part], "rank": batch["rank"].iloc[part], "row": packed, "start": starts})
 
 
 def train(docs: DataFrame, per_language: int = 400, clusters: int = 4) -> Model | None:
@@ -132,10 +197,10 @@ def train(docs: DataFrame, per_language: int = 400, clusters: int = 4) -> Model
     rank = F.xxhash64(F.lit(17), "doc_id").bitwiseAND(F.lit((1 << 62) - 1))
     limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.5 * per_language / n) * (1 << 62))])
     chosen = usable.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= F.element_at(limit, F.col("lang")))
-    rows = chosen.mapInPandas(_features, "lang string, rank long, row binary").toPandas()
+    rows = chosen.mapInPandas(_features, "lang string, rank long, row binary, start string").toPandas()
     rows = rows.sort_values(["lang", "rank"]).groupby("lang").head(per_language)
     vectors = np.frombuffer(b"".join(rows["row"]), dtype=np.int32).reshape(-1, DIMENSIONS)
-    return fit(vectors, rows["lang"].tolist(), clusters)
+    return fit(vectors, rows["lang"].tolist(), rows["start"].tolist(), clusters)
 
 
 def _predict(shared):
@@ -144,9 +209,9 @@ def _predict(shared):
         written = [has_letter(t) for t in texts]
         if model is None or not any(written):
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        best, cosine = model.nearest(counts(texts))
+        best, cosine, far = model.nearest(counts(texts))
         langs = [model.languages[model.of[k]] if known else "und" for known, k in zip(written, best, strict=True)]
-        return langs, np.where(written, cosine, 0.0).astype(float), ~np.array(written) | (cosine < model.floor[best])
+        return langs, np.where(written, cosine, 0.0).astype(float), ~np.array(written) | far
 
     return run
 

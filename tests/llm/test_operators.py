@@ -1,7 +1,10 @@
+import base64
 import hashlib
 import random
 import re
+import string
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow.dataset
@@ -236,6 +239,25 @@ def test_language(spark, documents, no_documents):
     assert {r["lang_pred"] for r in language.predict(documents, None).collect()} == {"und"}
 
 
+def test_rejects_unlearned_languages_and_noise_but_not_short_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(5)
+    noise = ["".join(rng.choices(string.ascii_lowercase + " ", k=3000)) for _ in range(50)]
+    noise += [base64.b64encode(rng.randbytes(2000)).decode() for _ in range(50)]
+
+    def rejected(model, texts):
+        return np.mean(language._predict(SimpleNamespace(value=model))(pyarrow.array(texts))[2])
+
+    unseen = [r["text"] for r in docs.where(language.held_out()).collect()]
+    whole = language.train(docs)
+    assert rejected(whole, unseen) < 0.02 and rejected(whole, noise) == 1
+    for size in (16, 60, 200, 500):
+        assert rejected(whole, [t[37 : 37 + size] for t in unseen if len(t) > 37 + size]) < 0.03, size
+    for left in whole.languages:
+        others = language.train(docs.where(F.col("lang") != left))
+        assert rejected(others, [r["text"] for r in docs.where(F.col("lang") == left).collect()]) > 0.85, left
+
+
 def test_counts_stay_within_texts():
     texts = ["ab", "cd ef", None, "", "x!!y"]
     together = language.counts(texts)
