@@ -23,6 +23,14 @@ _MURMUR_1 = _U(0x87C37B91114253D5)
 _MURMUR_2 = _U(0x4CF5AD432745937F)
 _XXH3_SECRET_8 = 0x1CAD21F72C81017C ^ 0xDB979083E96DD4DE
 _XXH3_PRIME = _U(0x9FB21C651E98DF25)
+_XXH_PRIME_1 = 0x9E3779B185EBCA87
+_XXH3_FINISH = _U(0x165667919E3779F9)
+_XXH3_SECRET = np.frombuffer(
+    bytes.fromhex(
+        "b8fe6c3923a44bbe7c01812cf721ad1cded46de9839097db7240a4a4b7b3671fcb79e64eccc0e578825ad07dccff7221b8084674f743248ee03590e6813a264c"
+    ),
+    dtype="<u8",
+)
 
 ALGORITHMS = ("default", "ahash", "murmur3", "xxhash")
 
@@ -82,10 +90,30 @@ def murmur3_u64(packed: np.ndarray) -> np.ndarray:
     return murmur3(_big_endian(packed))
 
 
+def _fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The halves of the 128-bit product, combined."""
+    return (x * y) ^ _multiply_high(x, y)
+
+
 def xxh3(rows: np.ndarray) -> np.ndarray:
-    """XXH3-64, seed 0, of each row of a byte matrix."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(row) for row in np.ascontiguousarray(rows)), dtype=_U, count=len(rows))
+    """XXH3-64, seed 0, of each row of a byte matrix: all rows at once for 17 to 64 bytes, else one by one."""
+    count, length = rows.shape
+    if not 17 <= length <= 64:
+        digest = xxhash.xxh3_64_intdigest
+        return np.fromiter((digest(row) for row in np.ascontiguousarray(rows)), dtype=_U, count=count)
+
+    def lanes(first: int) -> tuple[np.ndarray, np.ndarray]:
+        pair = np.ascontiguousarray(rows[:, first : first + 16]).view("<u8")
+        return pair[:, 0], pair[:, 1]
+
+    out = np.full(count, length * _XXH_PRIME_1 & (1 << 64) - 1, dtype=_U)
+    # pairs of lanes from both ends, the inner ones only if the row is long enough
+    for k in range((length - 1) // 32 + 1):
+        for place, first in ((2 * k, 16 * k), (2 * k + 1, length - 16 * (k + 1))):
+            low, high = lanes(first)
+            out += _fold(low ^ _XXH3_SECRET[2 * place], high ^ _XXH3_SECRET[2 * place + 1])
+    out = (out ^ (out >> _U(37))) * _XXH3_FINISH
+    return out ^ (out >> _U(32))
 
 
 def xxh3_u64(packed: np.ndarray) -> np.ndarray:

@@ -79,16 +79,22 @@ def byte_kmers(data: np.ndarray, k: int) -> np.ndarray:
     return np.where((forward[rows, first] <= backward[rows, first])[:, None], forward, backward)
 
 
+def _pieces(seq: str | None, k: int) -> Iterator[np.ndarray]:
+    """The k-mers of a sequence, a bounded number at once."""
+    data = normal_bytes(seq or "")
+    step = _WINDOWS if k < 32 else max(1024, _WINDOWS // k)
+    for first in range(0, max(0, len(data) - k + 1), step):
+        part = data[first : first + step + k - 1]
+        yield packed_kmers(part, k) if k < 32 else byte_kmers(part, k)
+
+
 def sketch_sequence(
     seq: str | None, k: int, kernel: Callable[[np.ndarray], np.ndarray], limit: int, nmax: int | None
 ) -> np.ndarray:
     """The sorted distinct hashes below `limit` of a sequence's canonical k-mers, the `nmax` smallest if given."""
-    data = normal_bytes(seq or "")
     found = np.empty(0, dtype=np.uint64)
-    step = _WINDOWS if k < 32 else max(1024, _WINDOWS // k)
-    for first in range(0, max(0, len(data) - k + 1), step):
-        part = data[first : first + step + k - 1]
-        hashes = kernel(packed_kmers(part, k) if k < 32 else byte_kmers(part, k))
+    for kmers in _pieces(seq, k):
+        hashes = kernel(kmers)
         found = np.union1d(found, hashes[hashes < np.uint64(limit)])
         if nmax is not None:
             found = found[:nmax]
@@ -110,6 +116,25 @@ def sketch_column(
     return sketch(seq)
 
 
+def kmer_counts(seq: Column, k: int) -> Column:
+    """The number of a sequence's canonical k-mers (k < 32) and of different ones, as a struct (n_kmers, n_distinct)."""
+    if k >= 32:
+        raise ValueError("k-mers of 32 and more bases are not packed")
+
+    @pandas_udf("n_kmers long, n_distinct long")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for s in batch:
+                total, seen = 0, np.empty(0, dtype=np.uint64)
+                for kmers in _pieces(s, k):
+                    total, seen = total + len(kmers), np.union1d(seen, kmers)
+                rows.append((total, len(seen)))
+            yield pd.DataFrame(rows, columns=["n_kmers", "n_distinct"])
+
+    return counts(seq)
+
+
 def hash_column(kmer: Column, k: int, algorithm: str) -> Column:
     """The hash of a column of packed k-mers (BIGINT) or, from k = 32 on, of k-mer strings."""
     kernel = hash_function(algorithm, k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandmill.functions.sequences import unsigned_order
 from strandmill.types import Sketches
@@ -56,31 +57,36 @@ def search(index: Sketches, query: Sketches, cutoff: float = 0.0) -> DataFrame:
 
 
 def _prefixes(query: Sketches, target: Sketches) -> DataFrame:
-    """(query_id, sketch_id, num_common) with the length of the common prefix of both sorted hash lists."""
+    """(query_id, sketch_id, num_common) with the length of the common prefix of both sorted hash lists.
 
-    def lists(sketches: Sketches, key: str, name: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(unsigned_order(F.col("hash")))).alias(name)
-        return sketches.postings.groupBy(F.col("sketch_id").alias(key)).agg(ordered)
+    Hashes that have the same place in both lists meet in an equi-join; the prefix reaches as far as these places are
+    consecutive from the first.
+    """
+
+    def placed(sketches: Sketches, key: str) -> DataFrame:
+        by_sketch = Window.partitionBy("sketch_id").orderBy(unsigned_order(F.col("hash")))
+        return sketches.postings.withColumn("place", F.row_number().over(by_sketch)).withColumnRenamed("sketch_id", key)
 
-    one, two = lists(query, "query_id", "q"), lists(target, "sketch_id", "t")
-    # a prefix is common only if the smallest hashes are equal
-    pairs = one.withColumn("first", F.element_at("q", 1)).join(two.withColumn("first", F.element_at("t", 1)), "first")
-    differ = F.array_position(F.zip_with("q", "t", lambda x, y: x.eqNullSafe(y)), False)
-    length = F.when(differ > 0, differ - 1).otherwise(F.size("q"))
-    return pairs.select("query_id", "sketch_id", length.cast("long").alias("num_common"))
+    one, two = placed(query, "query_id"), placed(target, "sketch_id")
+    met = one.join(two, ["hash", "place"]).select("query_id", "sketch_id", "place")
+    by_pair = Window.partitionBy("query_id", "sketch_id").orderBy("place")
+    kept = met.withColumn("number", F.row_number().over(by_pair)).where("number = place")
+    return kept.groupBy("query_id", "sketch_id").agg(F.count("*").alias("num_common"))
 
 
 def _ratio(kmers: str, hashes: str) -> Column:
     return F.col(kmers).cast("double") / F.col(hashes).cast("double")
 
 
-def compare(query: Sketches, target: Sketches, cutoff: float = 0.0, overlap: str = "intersection") -> DataFrame:
+def compare(
+    query: Sketches, target: Sketches, cutoff: float = 0.0, overlap: str = "intersection", most_pairs: int = 1_000_000_000
+) -> DataFrame:
     """Pairwise comparison; the sketch with more hashes comes first, `reverse` tells that this is the target.
 
     `num_kmers` is the larger of both sizes; rows stay if `num_common / num_kmers * 100 > cutoff`, before the ratio of
     k-mers to hashes is applied.  `overlap="prefix"` counts the common prefix of the sorted hash lists instead of the
-    intersection.  A negative cutoff keeps pairs without a common hash as well, so it yields all pairs; sketches
-    without hashes are never compared.
+    intersection.  A negative cutoff keeps pairs without a common hash as well, so it yields all pairs and is an error if
+    there are more than `most_pairs`; sketches without hashes are never compared.
     """
     check_compatible(query, target)
     if overlap not in ("intersection", "prefix"):
@@ -88,6 +94,8 @@ def compare(query: Sketches, target: Sketches, cutoff: float = 0.0, overlap: str
     sides = [s.where(F.col(f"{m}_num_hashes") > 0) for s, m in zip(_sides(query, target), "qt", strict=True)]
     found = common_hashes(query, target) if overlap == "intersection" else _prefixes(query, target)
     if cutoff < 0:
+        if (pairs := sides[0].count() * sides[1].count()) > most_pairs:
+            raise ValueError(f"a negative cutoff asks for all {pairs} pairs")
         every = sides[0].crossJoin(sides[1]).join(found, ["query_id", "sketch_id"], "left")
         hits = every.withColumn("num_common", F.coalesce("num_common", F.lit(0)))
     else:
@@ -110,10 +118,26 @@ def compare(query: Sketches, target: Sketches, cutoff: float = 0.0, overlap: str
     )
 
 
+def two_decimals(value: Column) -> Column:
+    """A number from 0 on (below 500) with two decimals, of its exact binary value; an exact tie goes to the even digit.
+
+    The value times 2^52 is a whole number but for bits of numbers below 1, which only tell which side of a tie they are on.
+    """
+    unit = F.lit(str(1 << 52)).cast("decimal(20,0)")
+    scaled = value * float(1 << 52)
+    whole = F.floor(scaled).cast("decimal(20,0)")
+    hundredths = (whole * F.lit(100).cast("decimal(3,0)")).cast("decimal(25,0)")
+    low = F.floor(hundredths / unit).cast("decimal(10,0)")
+    rest = (hundredths - low * unit).cast("decimal(25,0)") * 2
+    beyond = F.when(rest == unit, scaled > F.floor(scaled).cast("double")).otherwise(rest > unit)
+    up = beyond | ((rest == unit) & (low % 2 == 1))
+    return ((low + F.when(up, 1).otherwise(0)) / 100).cast("decimal(12,2)").cast("string")
+
+
 def result_lines(results: DataFrame) -> DataFrame:
     """`line`: query, target, common hashes, k-mers and the containment with two decimals, tab-separated."""
     query = F.when(F.col("reverse"), F.col("to_name")).otherwise(F.col("from_name"))
     target = F.when(F.col("reverse"), F.col("from_name")).otherwise(F.col("to_name"))
-    shown = F.format_string("%.2f", "estimated_containment")
+    shown = two_decimals(F.col("estimated_containment"))
     columns = [query, target, F.col("num_common").cast("string"), F.col("num_kmers").cast("string"), shown]
     return results.select(F.concat_ws("\t", *columns).alias("line"))

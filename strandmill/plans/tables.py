@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.hashing import threshold
-from strandmill.functions.sequences import hash_column, normalise, reverse_complement
-from strandmill.operators.index import coarser, index_detail, index_summary, posting_lists
+from strandmill.functions.sequences import hash_column, kmer_counts, normalise, reverse_complement
+from strandmill.lineage import shared_path
+from strandmill.operators.index import coarser, index_detail, index_summary, open_index, posting_lists, write_index
 from strandmill.operators.search import compare, result_lines, search
 from strandmill.operators.sketch import collapse, sketch, union
-from strandmill.sources.exchange import to_exchange
+from strandmill.sources.exchange import read_exchange, to_exchange, write_exchange
 from strandmill.types import Sketches
 
 _LETTERS = string.ascii_letters
@@ -67,8 +68,8 @@ def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _windows(documents(spark, sf_dir), K).groupBy(F.col("ordinal").alias("doc_id"))
-    return counted.agg(F.count("*").alias("n_kmers"), F.countDistinct("kmer").alias("n_distinct"))
+    counted = documents(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), kmer_counts(F.col("seq"), K).alias("n"))
+    return counted.select("doc_id", "n.n_kmers", "n.n_distinct").where("n_kmers > 0")
 
 
 def kmer_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,23 @@ def index_coarser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exchange_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = to_exchange(benchmark_sketches(spark, sf_dir)).select("filename", F.explode("signatures").alias("s"))
-    return rows.select("filename", "s.ksize", F.size("s.mins").alias("n_mins"), F.get("s.mins", F.lit(0)).cast("double").alias("first"))
+    mins = F.concat_ws(",", F.transform("s.mins", lambda x: x.cast("string")))
+    return rows.select("filename", "s.ksize", "s.molecule", F.size("s.mins").alias("n_mins"), mins.alias("mins"))
+
+
+def exchange_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketches of the benchmark as read again from exchange files."""
+    path = shared_path(spark)
+    write_exchange(benchmark_sketches(spark, sf_dir), path)
+    read = read_exchange(spark, path)
+    return read.postings.join(read.sigs, "sketch_id").select("sketch_id", "file_name", "algorithm", "fscale", "num_kmers", "hash")
+
+
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in an index that was written and opened again."""
+    path = shared_path(spark)
+    write_index(document_sketches(spark, sf_dir), path)
+    return search(open_index(spark, path), benchmark_sketches(spark, sf_dir))
 
 
 def search_containment(spark: SparkSession, sf_dir: str, cutoff: float = 0.0) -> DataFrame:
@@ -165,10 +182,9 @@ def compare_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result lines without the rounded column, whose ties engines print differently."""
     parts = F.split("line", "\t")
     lines = result_lines(search_containment(spark, sf_dir))
-    return lines.select(*[parts[i].alias(n) for i, n in enumerate(("query", "target", "num_common", "num_kmers"))])
+    return lines.select(*[parts[i].alias(n) for i, n in enumerate(("query", "target", "num_common", "num_kmers", "containment"))])
 
 
 QUERIES: dict[str, Query] = {
@@ -193,6 +209,8 @@ QUERIES: dict[str, Query] = {
     "index_detail": lambda spark, sf_dir: index_detail(document_sketches(spark, sf_dir)),
     "index_coarser": index_coarser,
     "exchange_signatures": exchange_signatures,
+    "exchange_round_trip": exchange_round_trip,
+    "index_round_trip": index_round_trip,
     "search_containment": search_containment,
     "search_cutoff": search_cutoff,
     "compare_pairwise": compare_pairwise,
@@ -239,6 +257,84 @@ def _ahash(records: str) -> str:
     )
 
 
+def _steps(source: str, *named: tuple[str, str]) -> str:
+    """A select for each name that the ones after it build on."""
+    for name, value in named:
+        source = f"(SELECT *, {value} AS {name} FROM {source})"
+    return source
+
+
+def _low(value: str) -> str:
+    return f"(({value}) & CAST({_TOP} AS UHUGEINT))"
+
+
+def _wide(value: int) -> str:
+    return f"CAST({value} AS UHUGEINT)"
+
+
+def _rotated(x: str, bits: int) -> str:
+    return f"({_low(f'{x} << {bits}')} | ({x} >> {64 - bits}))"
+
+
+def _mixed(name: str, x: str, shift: int, multiplier: int) -> tuple[str, str]:
+    return name, _low(f"xor({x}, {x} >> {shift}) * {_wide(multiplier)}")
+
+
+def _bytes_as_number(first: int, count: int) -> str:
+    """Letters of `kmer` from place `first` (from 0), the first one lowest."""
+    return "(" + " + ".join(f"(CAST(ascii(substr(kmer, {first + i + 1}, 1)) AS UHUGEINT) << {8 * i})" for i in range(count)) + ")"
+
+
+#: The eight bytes of a packed k-mer in reverse order.
+_SWAPPED = "(" + " | ".join(f"(((CAST(CAST({_PACK} AS UBIGINT) AS UHUGEINT) >> {56 - 8 * i}) & 255) << {8 * i})" for i in range(8)) + ")"
+_M1, _M2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+
+
+def _murmur(source: str, blocks: list[tuple[str, str]], tail: str, size: int) -> str:
+    """(…, u): blocks are pairs of 64-bit numbers, the tail is one of at most eight bytes."""
+    a, b, named = _wide(42), _wide(42), []
+    for i, (low, high) in enumerate(blocks):
+        named += [(f"p{i}", _low(f"{low} * {_wide(_M1)}")), (f"q{i}", _low(f"{_rotated(f'p{i}', 31)} * {_wide(_M2)}")), (f"r{i}", f"xor({a}, q{i})")]
+        named += [(f"a{i}", _low(f"({_rotated(f'r{i}', 27)} + {b}) * 5 + {_wide(0x52DCE729)}"))]
+        named += [(f"s{i}", _low(f"{high} * {_wide(_M2)}")), (f"t{i}", _low(f"{_rotated(f's{i}', 33)} * {_wide(_M1)}")), (f"v{i}", f"xor({b}, t{i})")]
+        named += [(f"b{i}", _low(f"({_rotated(f'v{i}', 31)} + a{i}) * 5 + {_wide(0x38495AB5)}"))]
+        a, b = f"a{i}", f"b{i}"
+    named += [("k", _low(f"{tail} * {_wide(_M1)}")), ("l", _low(f"{_rotated('k', 31)} * {_wide(_M2)}"))]
+    named += [("x", f"xor(xor({a}, l), {_wide(size)})"), ("y", f"xor({b}, {_wide(size)})"), ("g", _low("x + y")), ("h", _low("y + g"))]
+    for x in ("g", "h"):
+        named += [_mixed(f"{x}1", x, 33, 0xFF51AFD7ED558CCD), _mixed(f"{x}2", f"{x}1", 33, 0xC4CEB9FE1A85EC53), (f"{x}3", f"xor({x}2, {x}2 >> 33)")]
+    return _steps(source, *named, ("u", _low("g3 + h3")))
+
+
+def _murmur3_long() -> str:
+    number = [_bytes_as_number(8 * i, 8) for i in range(4)]
+    return _murmur(_kmers(_Q, LONG_K), [(number[0], number[1]), (number[2], number[3])], _bytes_as_number(32, 1), LONG_K)
+
+
+def _xxh3() -> str:
+    prime = 0x9FB21C651E98DF25
+    named = [("s", _SWAPPED), ("x", f"xor(({_low('s << 32')} | (s >> 32)), {_wide(0x1CAD21F72C81017C ^ 0xDB979083E96DD4DE)})")]
+    named += [("y", f"xor(xor(x, {_rotated('x', 49)}), {_rotated('x', 24)})"), ("z", _low(f"y * {_wide(prime)}"))]
+    named += [("w", _low(f"xor(z, (z >> 35) + 8) * {_wide(prime)}")), ("u", "xor(w, w >> 28)")]
+    return _steps(_kmers(_Q, K), *named)
+
+
+#: The first words of the function's secret.
+_SECRET = [0xBE4BA423396CFEB8, 0x1CAD21F72C81017C, 0xDB979083E96DD4DE, 0x1F67B3B7A4A44072, 0x78E5C0CC4EE679CB, 0x2172FFCC7DD05A82, 0x8E2443F7744608B8, 0x4C263A81E69035E0]
+
+
+def _xxh3_long() -> str:
+    """For 33 letters: two pairs of words from either end."""
+    named = []
+    for i, first in enumerate((0, LONG_K - 16, 16, LONG_K - 32)):
+        for k in (0, 1):
+            named.append((f"w{i}{k}", f"xor({_bytes_as_number(first + 8 * k, 8)}, {_wide(_SECRET[2 * i + k])})"))
+        named += [(f"m{i}", f"w{i}0 * w{i}1"), (f"f{i}", f"xor({_low(f'm{i}')}, m{i} >> 64)")]
+    start = LONG_K * 0x9E3779B185EBCA87 % 2**64
+    named += [("s", _low(f"{_wide(start)} + f0 + f1 + f2 + f3")), _mixed("t", "s", 37, 0x165667919E3779F9), ("u", "xor(t, t >> 32)")]
+    return _steps(_kmers(_Q, LONG_K), *named)
+
+
 _SIGNED = f"CASE WHEN u >= 9223372036854775808 THEN CAST(CAST(u AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(u AS BIGINT) END"
 
 
@@ -286,6 +382,10 @@ ORACLES: dict[str, str] = {
     "kmer_canonical": f"SELECT DISTINCT id AS item_id, kmer, {_PACK} AS packed FROM {_kmers(_Q, K)}",
     "kmer_long_canonical": f"SELECT DISTINCT id AS item_id, kmer FROM {_kmers(_Q, LONG_K)}",
     "hash_ahash": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_ahash(_Q)}",
+    "hash_murmur3": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_murmur(_kmers(_Q, K), [], _SWAPPED, 8)}",
+    "hash_murmur3_long": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_murmur3_long()}",
+    "hash_xxh3": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_xxh3()}",
+    "hash_xxh3_long": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_xxh3_long()}",
     "sketch_fracminhash": f"WITH {_sketches('q', _Q)} SELECT sid AS sketch_id, name, n AS num_kmers, {_SIGNED} AS hash FROM qh JOIN qs USING (id)",
     "sketch_bottom_n": f"""
 WITH h AS (SELECT f, u FROM (SELECT f, u, row_number() OVER (PARTITION BY f ORDER BY u) AS r
@@ -315,8 +415,14 @@ SELECT sid AS sketch_id, f AS file_name, 'Some({FSCALE})' AS fscale, CAST({K} AS
     "index_coarser": f"""
 WITH {_sketches('d', _D, 50)} SELECT sid AS sketch_id, name, n AS num_hashes, CAST(50 AS BIGINT) AS fscale FROM ds""",
     "exchange_signatures": f"""
-WITH {_sketches('q', _Q)}, least AS (SELECT id, min(u) AS u FROM qh GROUP BY id)
-SELECT f AS filename, CAST({K} AS INTEGER) AS ksize, CAST(n AS INTEGER) AS n_mins, CAST(u AS DOUBLE) AS first FROM qs LEFT JOIN least USING (id)""",
+WITH {_sketches('q', _Q)}, l AS (SELECT id, string_agg(CAST(u AS VARCHAR), ',' ORDER BY u) AS mins FROM qh GROUP BY id)
+SELECT f AS filename, CAST({K} AS INTEGER) AS ksize, 'dna' AS molecule, CAST(n AS INTEGER) AS n_mins, coalesce(mins, '') AS mins
+FROM qs LEFT JOIN l USING (id)""",
+    "exchange_round_trip": f"""
+WITH {_sketches('q', _Q)}
+SELECT sid AS sketch_id, f AS file_name, 'ahash' AS algorithm, CAST({FSCALE} AS BIGINT) AS fscale, n AS num_kmers, {_SIGNED} AS hash
+FROM qh JOIN qs USING (id, f)""",
+    "index_round_trip": f"{_FOUND} SELECT * FROM found WHERE estimated_containment > 0",
     "search_containment": f"{_FOUND} SELECT * FROM found WHERE estimated_containment > 0",
     "search_cutoff": f"{_FOUND} SELECT * FROM found WHERE estimated_containment > 50",
     "compare_pairwise": f"{_BOTH}, {_COMMON} {_pairs('c', _plain('qs'), _plain('ds'))}",
@@ -336,6 +442,7 @@ WITH {_sketches('q', _Q)}, c AS (
   LEFT JOIN (SELECT g.id AS gi, h.id AS hi, g.u FROM qh g JOIN qh h USING (u)) x ON gi = a.id AND hi = b.id GROUP BY ALL
 ) {_pairs('c', _plain('qs'), _plain('qs'))}""",
     "result_lines": f"""{_FOUND}
-SELECT from_name AS query, to_name AS target, CAST(num_common AS VARCHAR) AS num_common, CAST(num_kmers AS VARCHAR) AS num_kmers
+SELECT from_name AS query, to_name AS target, CAST(num_common AS VARCHAR) AS num_common, CAST(num_kmers AS VARCHAR) AS num_kmers,
+  printf('%.2f', estimated_containment) AS containment
 FROM found WHERE estimated_containment > 0""",
 }
