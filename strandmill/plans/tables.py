@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.hashing import threshold
 from strandmill.functions.sequences import hash_column, kmer_counts, normalise, reverse_complement
-from strandmill.lineage import shared_path
+from strandmill.lineage import shared_path, spread
 from strandmill.operators.index import coarser, index_detail, index_summary, open_index, posting_lists, write_index
 from strandmill.operators.search import compare, result_lines, search
 from strandmill.operators.sketch import collapse, sketch, union
@@ -34,7 +34,7 @@ def spell(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records; the source stands for the file."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     name = F.col("doc_id").cast("string").alias("name")
     return docs.select(F.col("source").alias("file_name"), F.col("doc_id").alias("ordinal"), name, spell(F.col("text")).alias("seq"))
 
