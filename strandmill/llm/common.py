@@ -13,11 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strandmill.lineage import cut
+from strandmill.lineage import cut, spread
+
+
+#: Short rows that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def shield(df: DataFrame, used: Sequence[str], added: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """Renames all columns but `used` by their place, so that no name of theirs can meet one that an operator makes up.
+
+    Columns named like the `added` ones go.  The second result selects the others again under their own names.
+    """
+    gone, wanted = {c.lower() for c in added}, {c.lower(): c for c in used}
+    names = [wanted.get(c.lower(), f"__x{i}") for i, c in enumerate(df.columns)]
+    stay = [(n, c) for n, c in zip(names, df.columns, strict=True) if c.lower() not in gone]
+    return df.toDF(*names).select(*[n for n, _ in stay]), [F.col(n).alias(c) for n, c in stay]
 
 
 def row_key(*columns: str) -> list[Column]:
@@ -26,6 +46,11 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*names).alias("__key_a"), F.xxhash64(F.lit(7), *names, F.lit(11)).alias("__key_b")]
 
 
+def narrow(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins rows to `small` (a few numbers a row), which is broadcast only if a count shows that it is small enough."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an edge list by alternating large-star and small-star steps.
 
