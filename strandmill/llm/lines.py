@@ -1,10 +1,13 @@
 """Line deduplication with two Bloom filters.
 
-The first pass hashes every line once for each document.  Each hash belongs to one small segment of two Bloom filters:
-a hash that meets its bits already set in the "once" filter is put into the "twice" filter.  The second pass probes
-the twice filter, so only suspected repeats shuffle; they are counted exactly by 128-bit digest.  The filter's
-size follows the number of lines up to `max_filter_bits`, the proven bound of what is broadcast; beyond it more lines are
-suspected and the result stays the same.
+The first pass hashes every line once for each document into two filters of fixed size: "once", and "twice" for hashes that
+meet their bits already set.  Every task fills filters of its own; they are merged slice by slice in a tree, where a bit that is
+set once on both sides becomes set twice, so no hash of a line shuffles.  The second pass probes the twice filter and only
+suspected repeats shuffle, to be counted exactly by 128-bit digest.  The lines found are broadcast, up to a counted bound,
+and removed in place: texts don't shuffle.  Beyond the bound documents are joined with the lines that they lose.
+
+The filter grows with the number of lines up to `max_filter_bits`, the proven bound of what is broadcast; beyond it more lines
+are suspected and shuffle as digests, and the result stays the same.
 """
 
 from __future__ import annotations
@@ -15,13 +18,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.lineage import cut
-from strandmill.llm.common import extend, row_key, table, tidy
+from strandmill.llm.common import extend, row_key, shield, table, tidy
+from strandmill.llm.kernels import slices
 
-_LINES_PER_SEGMENT, _BITS_PER_LINE, _PROBES = 1024, 16, 4
+_BITS_PER_LINE, _PROBES, _SLICE_BITS = 16, 4, 1 << 20
+#: Filters that one task merges at once, and the share of all suspects from which a line's rows are joined by broadcast.
+_FAN_IN, _HOT_SHARE = 32, 10_000
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -30,136 +38,200 @@ def line_keys(text: str | None) -> list[bytes]:
     return [line.strip(_BLANK).lower() for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n")]
 
 
-def _digest(key: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(key)
-
-
 def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
 
 
-def _doc_digests(text: str | None, min_chars: int) -> np.ndarray:
-    """The distinct digests of a document's lines, one row of two int64 each."""
-    found = {_digest(k) for k in line_keys(text) if _long_enough(k, min_chars)}
-    return np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
+def _digests(keys: list[bytes]) -> np.ndarray:
+    """One row of two 64-bit numbers for each key."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype=np.uint64).reshape(-1, 2)
 
 
-def _bits(hashes: np.ndarray, segment_bits: int) -> np.ndarray:
-    high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
-    steps = np.arange(_PROBES, dtype=np.uint64)[:, None]
-    return ((high + steps * (low | np.uint64(1))) % np.uint64(segment_bits)).astype(np.int64)
+def _once_each(texts: list[str | None], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of each document's distinct lines, and which text each belongs to."""
+    rows = [[k for k in set(line_keys(t)) if _long_enough(k, min_chars)] for t in texts]
+    return _digests([k for keys in rows for k in keys]), np.repeat(np.arange(len(rows)), [len(keys) for keys in rows])
 
 
-def _insert(segments: int, min_chars: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [_doc_digests(t, min_chars)[:, 0] for t in batch["text"]]
-            values, counts = np.unique(np.concatenate([*rows, np.empty(0, np.int64)]).view(np.uint64), return_counts=True)
-            segment = (values % np.uint64(segments)).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
-            values, counts, segment = values[order], counts[order], segment[order]
-            starts = np.flatnonzero(np.diff(segment, prepend=-1))
-            if not len(starts):
-                continue
-            ends = np.append(starts[1:], len(segment))
-            yield pd.DataFrame(
-                {
-                    "segment": segment[starts],
-                    "hashes": [values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
-                    "again": [(counts[a:b] > 1).tobytes() for a, b in zip(starts, ends, strict=True)],
-                }
-            )
+class Filter:
+    """A bit array in slices; all probes of a hash lie in one slice."""
 
-    return run
+    def __init__(self, bits: int, parts: int = 1) -> None:
+        self.slices = parts
+        self.width = bits // self.slices
+        self.data = np.zeros(bits // 8, dtype=np.uint8)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The bits of each hash, one column for each."""
+        high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
+        steps = np.arange(1, _PROBES + 1, dtype=np.uint64)[:, None]
+        within = (high + steps * (low | np.uint64(1))) % np.uint64(self.width)
+        return (within + hashes % np.uint64(self.slices) * np.uint64(self.width)).astype(np.int64)
 
+    def holds(self, places: np.ndarray) -> np.ndarray:
+        return (self.data[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(axis=0)
 
-def _segment_filter(segment_bits: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        once, twice = np.zeros(segment_bits, dtype=bool), np.zeros(segment_bits, dtype=bool)
-        for packed, again in zip(rows["hashes"], rows["again"], strict=True):
-            bits = _bits(np.frombuffer(packed, dtype=np.uint64), segment_bits)
-            seen = once[bits].all(axis=0) | np.frombuffer(again, dtype=bool)
-            twice[bits[:, seen]] = True
-            # lines of one batch may share bits: those are inserted after all were looked up, which only matters
-            # for different lines, as a line's own repeats within the batch are marked in `again`
-            once[bits] = True
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "twice": [np.packbits(twice).tobytes()]})
+    def put(self, places: np.ndarray) -> None:
+        places = np.unique(places)
+        if len(places):
+            byte = places >> 3
+            starts = np.flatnonzero(np.diff(byte, prepend=-1))
+            self.data[byte[starts]] |= np.bitwise_or.reduceat(np.uint8(1) << (places & 7).astype(np.uint8), starts)
+
+    def part(self, number: int) -> np.ndarray:
+        return self.data[number * self.width // 8 : (number + 1) * self.width // 8]
+
+
+def _fill(bits: int, parts: int, min_chars: int):
+    """A task's own filters, one row for each slice that isn't empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once, twice, group = Filter(bits, parts), Filter(bits, parts), 0
+        for batch in batches:
+            group, texts = int(batch["task"].iloc[0]) if len(batch) else group, batch["text"].tolist()
+            for piece in slices(texts):
+                digests, _ = _once_each(texts[piece], min_chars)
+                hashes, counts = np.unique(digests[:, 0], return_counts=True)
+                places = once.places(hashes)
+                twice.put(places[:, (counts > 1) | once.holds(places)])
+                once.put(places)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for k in range(once.slices):
+            if once.part(k).any():
+                packed = [pack(f.part(k).tobytes()) for f in (once, twice)]
+                yield pd.DataFrame({"slice": [k], "group": [group], "once": packed[:1], "twice": packed[1:]})
 
     return run
 
 
-def _suspects(shared, segments: int, segment_bits: int, min_chars: int):
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges filters by slice and group, as they stream in."""
+    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for r in batch.itertuples():
+            once, twice = (np.frombuffer(unpack(x), dtype=np.uint8) for x in (r.once, r.twice))
+            if (known := held.get((r.slice, r.group))) is not None:
+                once, twice = known[0] | once, known[1] | twice | (known[0] & once)
+            held[r.slice, r.group] = once, twice
+    for (number, group), (once, twice) in held.items():
+        yield pd.DataFrame({"slice": [number], "group": [group], "once": [pack(once.tobytes())], "twice": [pack(twice.tobytes())]})
+
+
+def twice_filter(texts: DataFrame, bits: int, min_chars: int, tasks: int) -> Filter:
+    """The filter of lines that more than one document may hold; `tasks` (about how many fill filters) only shapes the tree."""
+    schema = "slice int, group int, once binary, twice binary"
+    out = Filter(bits, max(1, bits // _SLICE_BITS))
+    filters = texts.select("text", F.spark_partition_id().alias("task"))
+    filters = filters.mapInPandas(tidy(_fill(bits, out.slices, min_chars)), schema)
+    while True:
+        tasks = max(1, -(-tasks // _FAN_IN))
+        filters = filters.withColumn("group", (F.col("group") / _FAN_IN).cast("int") if tasks > 1 else F.lit(0))
+        parts = min(tasks * out.slices, max(64, 4 * texts.sparkSession.sparkContext.defaultParallelism))
+        filters = filters.repartition(parts, "slice", "group").mapInPandas(tidy(_merge), schema)
+        if tasks <= 1:
+            break
+    for number, packed in filters.select("slice", "twice").toLocalIterator():
+        out.part(number)[:] = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
+    return out
+
+
+def _suspects(shared: Broadcast, min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, filters = shared.value
         for batch in batches:
-            rows = [_doc_digests(t, min_chars) for t in batch["text"]]
-            owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            digests = np.concatenate([*rows, np.empty((0, 2), np.int64)])
-            hashes = digests[:, 0].view(np.uint64)
-            at = places[(hashes % np.uint64(segments)).astype(np.int64)]
-            bits = _bits(hashes, segment_bits)
-            hit = (filters[at, bits >> 3] >> (7 - (bits & 7)).astype(np.uint8) & 1).all(axis=0) & (at >= 0)
-            yield pd.DataFrame(
-                {
-                    "digest": pd.Series([row.tobytes().hex() for row in digests[hit]], dtype=object),
-                    "__key_a": batch["__key_a"].to_numpy()[owner[hit]],
-                    "__key_b": batch["__key_b"].to_numpy()[owner[hit]],
-                }
-            )
+            texts = batch["text"].tolist()
+            for piece in slices(texts):
+                digests, owner = _once_each(texts[piece], min_chars)
+                hit = np.flatnonzero(shared.value.holds(shared.value.places(digests[:, 0])))
+                keys = batch.iloc[piece].iloc[owner[hit]]
+                high, low = digests[hit].view(np.int64).T
+                yield pd.DataFrame({"high": high, "low": low, "__key_a": keys["__key_a"].array, "__key_b": keys["__key_b"].array})
 
     return run
 
 
-def _strip(texts: pa.Array, found: pa.Array) -> tuple[list, list, list]:
+def _cut_out(texts: list[str | None], gone_of) -> tuple[list, list, list]:
+    """Kept texts, lines and dropped lines; `gone_of(number, digests)` tells which lines of a text go."""
     kept, lines, dropped = [], [], []
-    for text, gone in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-        raw = out = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-        if gone:
-            gone = set(gone)
-            out = [r for r, k in zip(raw, line_keys(text), strict=True) if not k or _digest(k).hex() not in gone]
-        kept.append(None if text is None else b"\n".join(out).decode("utf-8", "surrogatepass"))
-        lines.append(len(raw))
-        dropped.append(len(raw) - len(out))
+    for i, text in enumerate(texts):
+        keys = line_keys(text)
+        gone = gone_of(i, _digests(keys)) & np.array([len(k) > 0 for k in keys])
+        if gone.any():
+            raw = text.encode("utf-8", "surrogatepass").split(b"\n")
+            text = b"\n".join([x for x, g in zip(raw, gone.tolist(), strict=True) if not g]).decode("utf-8", "surrogatepass")
+        kept.append(text)
+        lines.append(len(keys))
+        dropped.append(int(gone.sum()))
     return kept, lines, dropped
 
 
+class Digests:
+    """A set of digests as sorted arrays."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.high, self.low = rows[np.lexsort(rows.T[::-1])].T
+
+    def holds(self, digests: np.ndarray) -> np.ndarray:
+        high, low = digests.T
+        first, last = (np.searchsorted(self.high, high, side=s) for s in ("left", "right"))
+        out = np.zeros(len(digests), dtype=bool)
+        while (live := np.flatnonzero(~out & (first < last))).size:  # more than one round if different digests share a half
+            out[live] = self.low[first[live]] == low[live]
+            first[live] += 1
+        return out
+
+
+def _strip_known(shared: Broadcast):
+    def run(texts: pa.Array) -> tuple[list, list, list]:
+        return _cut_out(texts.to_pylist(), lambda _, digests: shared.value.holds(digests))
+
+    return run
+
+
+def _strip_joined(texts: pa.Array, found: pa.Array) -> tuple[list, list, list]:
+    listed = [Digests(np.array([(x["high"], x["low"]) for x in row or []], dtype=np.int64).view(np.uint64).reshape(-1, 2)) for row in found.to_pylist()]
+    return _cut_out(texts.to_pylist(), lambda i, digests: listed[i].holds(digests))
+
+
 def drop_repeated_lines(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_filter_bits: int = 1 << 28
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_filter_bits: int = 1 << 28, max_broadcast: int = 1 << 20
 ) -> DataFrame:
     """Drops every line whose key occurs in at least `min_docs` rows; adds `n_lines` and `n_dropped`.
 
-    Keys shorter than `min_chars` code points never count.  A null text stays null and an empty one empty; both have
-    one empty line.  Each row is a document, also where doc_id is null or repeated.  Extra columns pass through;
+    Keys shorter than `min_chars` code points (or empty) never count.  A null text stays null and an empty one empty; both have
+    one empty line.  Each row is a document, also where doc_id is null or repeated.  Extra columns of any name pass through;
     columns named like the added ones are replaced.  An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    texts = docs.select("text")
-    spark = docs.sparkSession
+    docs, back = shield(docs, ["text"], ["n_lines", "n_dropped"])
+    texts, spark = docs.select("text"), docs.sparkSession
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    lines = texts.agg(F.sum(newlines + 1)).first()[0] or 0
-    segments = max(1, -(-lines // _LINES_PER_SEGMENT))
-    segment_bits = max(8, min(_LINES_PER_SEGMENT * _BITS_PER_LINE, max_filter_bits // segments) // 8 * 8)
-
-    inserts = texts.mapInPandas(tidy(_insert(segments, min_chars)), "segment long, hashes binary, again binary")
-    merged = inserts.groupBy("segment").applyInPandas(_segment_filter(segment_bits), "segment long, twice binary")
-    places, filters = np.full(segments, -1, dtype=np.int64), []
-    for segment, bits in merged.where(F.ltrim(F.hex("twice"), F.lit("0")) != "").toLocalIterator():
-        places[segment] = len(filters)
-        filters.append(np.frombuffer(bits, dtype=np.uint8))
-    filters = np.stack(filters) if filters else np.zeros((1, segment_bits // 8), np.uint8)
-    shared = spark.sparkContext.broadcast((places, filters))
-
-    keyed = docs.withColumns(dict(zip(("__key_a", "__key_b"), row_key("doc_id", "text"), strict=True)))
-    schema = "digest string, __key_a long, __key_b long"
-    suspects = keyed.select("text", "__key_a", "__key_b").mapInPandas(
-        tidy(_suspects(shared, segments, segment_bits, min_chars)), schema
-    )
-    suspects = cut(suspects)
-    repeated = suspects.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("digest")
-    gone = suspects.join(repeated, "digest").groupBy("__key_a", "__key_b").agg(F.collect_set("digest").alias("gone"))
-    joined = keyed.join(gone, ["__key_a", "__key_b"], "left").drop("__key_a", "__key_b")
-    out = extend(joined, _strip, ["text", "gone"], "text string, n_lines long, n_dropped long", drop=["text", "gone"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")
+    sized = texts.select((newlines + 1).alias("n"), F.spark_partition_id().alias("task"))
+    lines, tasks = (x or 0 for x in sized.agg(F.sum("n"), F.max("task") + 1).first())
+    bits = min(max_filter_bits, 1 << max(13, (_BITS_PER_LINE * lines - 1).bit_length()))
+    shared = spark.sparkContext.broadcast(twice_filter(texts, bits, min_chars, tasks))
+
+    keyed = docs.withColumns(dict(zip(("__key_a", "__key_b"), row_key("text"), strict=True)))
+    schema = "high long, low long, __key_a long, __key_b long"
+    suspects = keyed.select("text", "__key_a", "__key_b").mapInPandas(tidy(_suspects(shared, min_chars)), schema)
+    counted = suspects.groupBy("high", "low").agg(F.count("*").alias("n"))
+    repeated = cut(counted.where(F.col("n") >= min_docs))
+    total, held = repeated.agg(F.count("*"), F.sum("n")).first()
+    added = "text string, n_lines long, n_dropped long"
+    if total <= max_broadcast:
+        rows = np.array([(r["high"], r["low"]) for r in repeated.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+        known = spark.sparkContext.broadcast(Digests(rows.view(np.uint64)))
+        out = extend(docs, _strip_known(known), ["text"], added, drop=["text"])
+    else:
+        # at most _HOT_SHARE lines can have this many of the rows; the others' are few enough for one task
+        hot = F.col("n") * _HOT_SHARE >= held
+        lists = [
+            suspects.join(F.broadcast(repeated.where(hot)), ["high", "low"]),
+            suspects.join(repeated.where(~hot), ["high", "low"]),
+        ]
+        gone = lists[0].unionByName(lists[1]).groupBy("__key_a", "__key_b").agg(F.collect_set(F.struct("high", "low")).alias("gone"))
+        joined = keyed.join(cut(gone), ["__key_a", "__key_b"], "left").drop("__key_a", "__key_b")
+        out = extend(joined, _strip_joined, ["text", "gone"], added, drop=["text", "gone"])
+    return out.select(*back, "n_lines", "n_dropped")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
