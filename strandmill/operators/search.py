@@ -119,18 +119,17 @@ def compare(
 
 
 def two_decimals(value: Column) -> Column:
-    """A number from 0 on (below 500) with two decimals, of its exact binary value; an exact tie goes to the even digit.
+    """A number from 0 on (below 2000) with two decimals, of its exact binary value; an exact tie goes to the even digit.
 
-    The value times 2^52 is a whole number but for bits of numbers below 1, which only tell which side of a tie they are on.
+    A double from 1 on is a whole number of 2^-52, and one from 2^-8 on of 2^-60; smaller ones are far from the first tie.
     """
-    unit = F.lit(str(1 << 52)).cast("decimal(20,0)")
-    scaled = value * float(1 << 52)
-    whole = F.floor(scaled).cast("decimal(20,0)")
+    units = F.when(value < 1, F.lit(1 << 60)).otherwise(F.lit(1 << 52))
+    whole = (value * units.cast("double")).cast("long").cast("decimal(20,0)")
+    units = units.cast("decimal(20,0)")
     hundredths = (whole * F.lit(100).cast("decimal(3,0)")).cast("decimal(25,0)")
-    low = F.floor(hundredths / unit).cast("decimal(10,0)")
-    rest = (hundredths - low * unit).cast("decimal(25,0)") * 2
-    beyond = F.when(rest == unit, scaled > F.floor(scaled).cast("double")).otherwise(rest > unit)
-    up = beyond | ((rest == unit) & (low % 2 == 1))
+    low = F.floor(hundredths / units).cast("decimal(10,0)")
+    twice = ((hundredths - low * units) * 2).cast("decimal(25,0)")
+    up = (twice > units) | ((twice == units) & (low % 2 == 1))
     return ((low + F.when(up, 1).otherwise(0)) / 100).cast("decimal(12,2)").cast("string")
 
 

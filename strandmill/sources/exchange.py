@@ -21,15 +21,18 @@ def _bits(value):
 
 
 def read_exchange(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> Sketches:
-    """Reads exchange files or folders of them; k, max_hash and the hash function must agree throughout.
+    """Reads exchange files or folders of them; k, max_hash and the hash function must agree throughout, and all be of DNA.
 
     Each line is a JSON list of signatures, as the format is usually written; `multi_line` reads indented files.
     """
     raw = spark.read.schema(EXCHANGE).option("multiLine", multi_line).json(paths)
     rows = raw.select("filename", "hash_function", F.posexplode("signatures").alias("place", "s"))
-    kinds = rows.select("hash_function", "s.ksize", "s.max_hash").distinct().limit(2).collect()
+    molecule = F.coalesce(F.lower("s.molecule"), F.lit("dna")).alias("molecule")
+    kinds = rows.select("hash_function", "s.ksize", "s.max_hash", molecule).distinct().limit(2).collect()
     if len(kinds) != 1:
-        raise ValueError("no sketch in the files" if not kinds else "sketches differ in hash function, k or max_hash")
+        raise ValueError("no sketch in the files" if not kinds else "sketches differ in hash function, k, max_hash or molecule")
+    if kinds[0]["molecule"] != "dna":
+        raise ValueError(f"sketches of {kinds[0]['molecule']!r}")
     algorithm = {v: n for n, v in LABELS.items()}.get(kinds[0]["hash_function"])
     if algorithm is None:
         raise ValueError(f"hash function {kinds[0]['hash_function']!r}")

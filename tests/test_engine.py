@@ -1,13 +1,15 @@
 import gzip
+import hashlib
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandmill.functions.hashing import hash_function, threshold
 from strandmill.functions.sequences import sketch_sequence
 from strandmill.operators.index import coarser, hash_values, index_detail, index_summary, open_index, write_index
-from strandmill.operators.search import compare, result_lines, search
+from strandmill.operators.search import compare, result_lines, search, two_decimals
 from strandmill.operators.sketch import collapse, sketch, union
 from strandmill.sources.exchange import read_exchange, to_exchange, write_exchange
 from strandmill.sources.fastx import read_fastx, split_parts
@@ -228,3 +230,65 @@ def test_queries_have_oracles():
     from strandmill.plans import tables
 
     assert set(tables.ORACLES) == {q for q in tables.QUERIES if not q.startswith(("hash_murmur3", "hash_xxh3"))}
+
+
+#: Fixed value: a sequence whose signature for k = 33 and murmur3 (seed 42) is known from another program.
+KNOWN = (
+    "GATAATTTATCCACAGCTTGTGGAAAACCTTATCCACAACTGCTTTGAATTTGAGTTTATTTACAGAAGGTTGCTTTTTTGAGCGCAAATTCCTTTATTATTGAGTAATA"
+    "CTCCACTCCTTTTATTTTACTTCCTTCTCTTTTACGCACGTATAAAGAACCTATCTCTTTTTCAATTTCCTTTAAGAGTTCATCTTTTGTTATTTCGCTTTTTAGGAATA"
+    "GCTCTTTAAAATAAGAAGGCAACCAAAAAAAACTATGTCCACTTTTTTATATTTTAATTCTTCCTCATACTCTTCTTTTCTTTTTTTCATATCTTCAAGAATGAGGCTAA"
+    "CATTACCATGTGGGGAGGATAAACTTTTTAAAATATCTGAATATGCTATAACAGTCATCTTTCTTGCTCCTTTATTTTTTTTAGTATAACAATTAGATTGAATTAACCAT"
+    "GACAGATGTGGATAACTTGGTTAGAATGGCGACCCCTTCACCTACAGGGTAGGGGTAAATAGTCTTTTTTGAATTTAAAATTGAATGAAGGGGTTTCACATGCTTTGGAC"
+    "GGACTGCTTAACTCGCTTGCGACAAGAGCTCTCTGATAATGTCTTTGCCATGTGG"
+)
+
+
+def test_known_signature(spark, tmp_path):
+    """All 573 hashes of the known signature, from a FASTA file to exchange JSON and back."""
+    (tmp_path / "known.fa").write_text(">known [modified]\n" + "\n".join(KNOWN[i : i + 60] for i in range(0, len(KNOWN), 60)))
+    made_of_it = sketch(read_fastx(spark, str(tmp_path / "known.fa"), k=33), 33, None, None, "murmur3")
+    write_exchange(made_of_it, str(tmp_path / "sig"))
+    lines = [x for p in (tmp_path / "sig").glob("part-*") for x in p.read_text().splitlines()]
+    (signature,) = json.loads(lines[0])
+    (known,) = signature["signatures"]
+    mins = known["mins"]
+    assert len(mins) == 573 and mins[:3] == [19916266331765313, 49612108431566693, 127080787518776276] and mins[-1] == 18429209458639152291
+    assert hashlib.sha256(",".join(map(str, mins)).encode()).hexdigest() == "a6cbd286cb8b7feb95acd95ddcaa6894f2e92e6e03b2893b529101fb7902030f"
+    assert (known["num"], known["ksize"], known["seed"], known["max_hash"], known["molecule"]) == (0, 33, 42, 2**64 - 1, "dna")
+    assert signature["hash_function"] == "0.murmur64"
+    # the same file as other programs write it: a class name of their own and no name
+    signature["class"] = "another"
+    signature.pop("name", None)
+    (tmp_path / "other.sig").write_text(json.dumps([signature]))
+    read = read_exchange(spark, str(tmp_path / "other.sig"))
+    assert (read.k, read.fscale, read.algorithm) == (33, None, "murmur3")
+    assert hashes_of(read) == {signature["filename"]: mins}
+    known["molecule"] = "protein"
+    (tmp_path / "protein.sig").write_text(json.dumps([signature]))
+    with pytest.raises(ValueError):
+        read_exchange(spark, str(tmp_path / "protein.sig"))
+
+
+def test_two_decimals_round_the_exact_value(spark):
+    rng = random.Random(5)
+    values = [0.0, 0.125, 3.125, 3.375, 0.005, 0.015, 2.675, 1.005, 99.995, 100.0, 66.66666666666666, 0.375 + 2**-54, 12.5, 1e-9]
+    values += [rng.randrange(1, 400) / rng.randrange(400, 900) * 100.0 for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").withColumn("s", two_decimals(F.col("v")))
+    assert [r["s"] for r in df.orderBy("i").collect()] == [f"{v:.2f}" for v in values]
+
+
+def test_all_pairs_have_a_bound(spark):
+    a, b = made(spark, {"a": ([1], 1), "b": ([2], 1)}), made(spark, {"c": ([1], 1)})
+    assert compare(a, b, -1.0, most_pairs=2).count() == 2
+    with pytest.raises(ValueError):
+        compare(a, b, -1.0, most_pairs=1)
+
+
+def test_kmer_counts(spark, monkeypatch):
+    from strandmill.functions import sequences
+
+    seqs = [dna(3, 300), dna(3, 300) * 2, "ACGT" * 20 + "N" + "acgu" * 20, "ACG", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "i int, s string").select("i", sequences.kmer_counts(F.col("s"), 21).alias("n"))
+    for r in rows.collect():
+        found = sequences.packed_kmers(sequences.normal_bytes(seqs[r["i"]] or ""), 21).tolist()
+        assert tuple(r["n"]) == (len(found), len(set(found)))
