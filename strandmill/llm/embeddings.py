@@ -7,7 +7,9 @@ by their cosine in double precision.  At a cosine of exactly 0.93 a table finds
 tables miss fewer than one in a thousand; see the test for the measured recall.
 
 Equal vectors with equal labels are one class, so copies never become pairs.  A cell of any size is cut into blocks; a
-tile of two blocks is compared at a time and gives the verified pairs alone.  Tiles are dealt by hash in bounded shares.
+tile of two blocks is compared at a time, and tiles are dealt by hash in bounded shares.  Pairs aren't written out: a pair
+counts in the first of the cells that it shares, which its two vectors tell, so every tile gives the number of links of each of
+its vectors and a star of links for each of its components, never more rows than it has.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.lineage import cut
-from strandmill.llm.common import components, table
+from strandmill.llm.common import components, shield, table
 from strandmill.llm.kernels import hash_series, mix64
 
 TABLES, PROBES, SCALE = 8, 16, 1.0
@@ -67,17 +69,42 @@ def _cell(lattice: np.ndarray, number: int) -> np.ndarray:
     return mix64((doubled * _CELL_HASH).sum(axis=-1, dtype=np.uint64) * np.uint64(TABLES) + np.uint64(number)).view(np.int64)
 
 
+def _times(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The product, summed in one order for each row, so that a vector's cells don't depend on what stands beside it."""
+    out = np.zeros((len(rows), matrix.shape[1]))
+    for k in range(matrix.shape[0]):
+        out += rows[:, k : k + 1] * matrix[k]
+    return out
+
+
 def cells(units: np.ndarray, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each table the vectors' own cells and the cells that they probe."""
     for number in range(TABLES):
         matrix = np.random.default_rng([seed, number]).normal(0, SCALE, (units.shape[1], 8))
-        points = units @ matrix
+        points = _times(units, matrix)
         home = decode_e8(points)
-        toward = (points - home) @ _NEAR.T
+        toward = _times(points - home, _NEAR.T)
         probed = np.argpartition(-toward, PROBES, axis=1)[:, :PROBES]
         yield _cell(home, number), _cell(home[:, None, :] + _NEAR[probed], number)
 
 
+def first_shared(units: np.ndarray, left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+    """For pairs of rows of `units` the first cell that they share: one's own, which the other owns or probes too."""
+    found = np.zeros(len(left), dtype=np.int64)
+    open_pairs = np.arange(len(left))
+    for own, probed in cells(units, seed):
+        one, two = left[open_pairs], right[open_pairs]
+        low, high = np.where(own[one] <= own[two], one, two), np.where(own[one] <= own[two], two, one)
+        in_low = (own[low] == own[high]) | (probed[high] == own[low][:, None]).any(axis=1)
+        in_high = (probed[low] == own[high][:, None]).any(axis=1)
+        met = in_low | in_high
+        found[open_pairs[met]] = np.where(in_low, own[low], own[high])[met]
+        open_pairs = open_pairs[~met]
+        if not len(open_pairs):
+            break
+    return found
+
+
 def _hash_cells(seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,20 +134,43 @@ def _units(vectors) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _verify(least: float):
-    """Verified pairs of the tiles dealt to one task: owners of block `i` against all rows of block `j`."""
+def _stars(one: np.ndarray, two: np.ndarray, size: int) -> np.ndarray:
+    """The smallest member of each member's component, for links between numbers below `size`."""
+    lowest = np.arange(size)
+    while True:
+        low = np.minimum(lowest[one], lowest[two])
+        after = lowest.copy()
+        for side in (one, two):
+            np.minimum.at(after, side, low)
+            np.minimum.at(after, lowest[side], low)
+        after = after[after]
+        if np.array_equal(after, lowest):
+            return lowest
+        lowest = after
+
+
+def _verify(least: float, seed: int):
+    """Links of the tiles dealt to one task, owners of block `i` against all rows of block `j`: (a, b, linked).
+
+    Each vector `a` has the number of vectors that it is linked with here and the smallest one, `b`, that links lead to.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable", ignore_index=True)
         tile = rows.groupby(["cell", "label", "i", "j"], sort=False).ngroup().to_numpy()
-        ids, owns, block = rows["id"].to_numpy(), rows["owns"].to_numpy(), rows["block"].to_numpy()
+        ids, member = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        source = np.zeros(len(ids), dtype=np.int64)
+        source[member] = np.arange(len(rows))
+        copies = rows["copies"].to_numpy()[source]
+        cell, owns, block = rows["cell"].to_numpy(), rows["owns"].to_numpy(), rows["block"].to_numpy()
         as_one, as_two = owns & (block == rows["i"].to_numpy()), block == rows["j"].to_numpy()
-        widths = rows["embedding"].map(len).to_numpy()
-        found = [np.empty((0, 2), dtype=np.int64)]
+        widths = rows["embedding"].map(len).to_numpy()[source]
+        linked, lowest = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         for width in np.unique(widths):
             same = np.flatnonzero(widths == width)
-            units = np.zeros((len(rows), width))
-            units[same] = _units(rows["embedding"].iloc[same])
-            one, two = (same[side[same]] for side in (as_one, as_two))
+            units = np.zeros((len(ids), width))
+            units[same] = _units(rows["embedding"].iloc[source[same]])
+            one, two = (np.flatnonzero(side & (widths[member] == width)) for side in (as_one, as_two))
             two = two[np.argsort(tile[two], kind="stable")]
             first = np.searchsorted(tile[two], tile[one], side="left")
             count = np.searchsorted(tile[two], tile[one], side="right") - first
@@ -129,12 +179,19 @@ def _verify(least: float):
                 place = np.arange(len(left)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
                 right = two[np.repeat(first[part], count[part]) + place]
                 # of two owners of the cell only one order is needed
-                new = (ids[left] != ids[right]) & (~owns[right] | (ids[left] < ids[right]))
+                new = (member[left] != member[right]) & (~owns[right] | (member[left] < member[right]))
                 left, right = left[new], right[new]
-                near = np.einsum("ij,ij->i", units[left], units[right]) >= least
-                pairs = np.stack([ids[left[near]], ids[right[near]]], axis=1)
-                found.append(np.unique(np.sort(pairs, axis=1), axis=0))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+                near = np.einsum("ij,ij->i", units[member[left]], units[member[right]]) >= least
+                left, right = left[near], right[near]
+                if not len(left):
+                    continue
+                some, at = np.unique(member[np.concatenate([left, right])], return_inverse=True)
+                here = first_shared(units[some], at[: len(left)], at[len(left) :], seed) == cell[left]
+                a, b = member[left[here]], member[right[here]]
+                linked += np.bincount(a, copies[b], len(ids)).astype(np.int64) + np.bincount(b, copies[a], len(ids)).astype(np.int64)
+                lowest = _stars(np.concatenate([a, lowest]), np.concatenate([b, np.arange(len(ids))]), len(ids))
+        some = np.flatnonzero(linked)
+        return pd.DataFrame({"a": ids[some], "b": ids[lowest[some]], "linked": linked[some]})
 
     return run
 
@@ -157,14 +214,14 @@ def _usable(vector: Column) -> Column:
 def near_vectors(vectors: DataFrame, least: float = 0.93, seed: int = 0) -> DataFrame:
     """Adds `n_links`, `component_id` and `kept` to every row of `vectors` (vec_id, embedding, label, ...).
 
-    Vectors are linked if their labels are equal and their cosine is at least `least`.  Null labels, null or empty or zero vectors and
-    vectors with null or non-finite components link with nothing; vectors of different length never link.  Rows
-    without vec_id are kept and link with nothing; rows that repeat a vec_id are one vector for the component and each counts as a
-    link of the others.  Extra columns pass through; columns named like the added ones are replaced.  An empty table
-    gives an empty result.
+    Vectors are linked if their labels are equal and their cosine is at least `least`.  Null labels, null or empty or zero
+    vectors and vectors with null or non-finite components link with nothing; vectors of different length never link.  Rows
+    without vec_id are kept and link with nothing; rows that repeat a vec_id are vectors of their own, each of which counts, and
+    those with nothing smaller among their copies share a component.  Extra columns of any name pass through; columns named like the added ones are replaced.  An empty
+    table gives an empty result.
     """
     added = ["n_links", "component_id", "kept"]
-    vectors = vectors.drop(*added)
+    vectors, back = shield(vectors, ["vec_id", "embedding", "label"], added)
     wide = F.col("embedding").cast("array<double>")
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(wide)
     keys = {"__key_a": F.xxhash64(wide, "label"), "__key_b": F.xxhash64(F.lit(7), wide, "label", F.lit(11))}
@@ -175,9 +232,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, seed: int = 0) -> Data
         rows.groupBy("__key_a", "__key_b").agg(
             F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"),
             F.first("embedding").alias("embedding"),
-        )
+        ).withColumn("class", F.monotonically_increasing_id())
     )
-    hashed = classes.select("id", "label", "embedding").mapInPandas(
+    hashed = classes.select(F.col("class").alias("id"), "label", "embedding").mapInPandas(
         _hash_cells(seed), "cell long, label long, id long, owns boolean"
     )
     hashed = cut(hashed)
@@ -188,16 +245,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, seed: int = 0) -> Data
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_owner = placed.where("owns").select("cell", "label", F.col("block").alias("i"), F.explode(others).alias("j"), "id", "owns", "block")
     as_other = placed.select("cell", "label", F.explode(others).alias("i"), F.col("block").alias("j"), "id", "owns", "block")
-    tiles = as_owner.union(as_other).distinct().join(classes.select("id", "embedding"), "id")
+    known = classes.select(F.col("class").alias("id"), "embedding", "copies")
+    tiles = as_owner.union(as_other).distinct().join(known, "id")
     shard = F.pmod(F.xxhash64("cell", "label", "i", "j"), F.lit(shards)).alias("shard")
-    pairs = cut(tiles.groupBy(shard).applyInPandas(_verify(least), "a long, b long").distinct())
-    groups = components(pairs)
-    weights = classes.select("id", "copies")
-    both = pairs.union(pairs.select("b", "a"))
-    others = both.join(weights.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
+    found = cut(tiles.groupBy(shard).applyInPandas(_verify(least, seed), "a long, b long, linked long"))
+    linked = found.groupBy(F.col("a").alias("class")).agg(F.sum("linked").alias("linked"))
+    # a class is named by its smallest vec_id, and so is a component
+    named = classes.select("class", F.col("id").alias("name"))
+    edges = found.select(F.col("a").alias("class"), "b").where("class != b").distinct()
+    edges = edges.join(named, "class").select(F.col("name").alias("a"), F.col("b").alias("class")).join(named, "class")
+    groups = components(edges.select("a", F.col("name").alias("b")))
     known = (
-        classes.select("__key_a", "__key_b", "id", "copies")
-        .join(others.withColumnRenamed("a", "id"), "id", "left")
+        classes.select("__key_a", "__key_b", "class", "id", "copies")
+        .join(linked, "class", "left")
         .join(groups, "id", "left")
         .select(
             "__key_a", "__key_b",
@@ -211,10 +271,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, seed: int = 0) -> Data
         .withColumn("n_links", F.coalesce("__links", F.lit(0)).cast("long"))
         .withColumn("component_id", F.coalesce("__component", F.col("vec_id").cast("long")))
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-        .select(*vectors.columns, *added)
+        .select(*back, *added)
     )
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: All pairs of equal label; links are the same unless the lattice misses a pair, which is rarer than one in a thousand.
+ORACLE_SQL = """
+WITH RECURSIVE row_of AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), good AS MATERIALIZED (
+  SELECT rid, vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM row_of
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pair AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.rid <> b.rid AND len(a.v) = len(b.v)
+  WHERE a.size > 0 AND b.size > 0 AND list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.93
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM row_of UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a),
+root AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+linked AS (SELECT a, count(*) AS n FROM pair GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, vec_id IS NULL) AS kept
+FROM row_of LEFT JOIN root ON root.a = vec_id LEFT JOIN linked ON linked.a = vec_id
+"""
