@@ -24,6 +24,12 @@ def write_index(sketches: Sketches, path: str, mode: str = "errorifexists", part
     ordered.select("hash", "sketch_id").write.mode(mode).parquet(f"{path}/postings")
 
 
+def is_index(spark: SparkSession, path: str) -> bool:
+    """Whether a path, in any file system that Spark reads, is an index folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/sigs")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def open_index(spark: SparkSession, path: str) -> Sketches:
     """Opens an index folder; one k, one fscale and one algorithm must hold for all of its sketches."""
     sigs = spark.read.schema(SIGS).parquet(f"{path}/sigs")

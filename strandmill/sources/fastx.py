@@ -1,7 +1,8 @@
 """A Spark data source for FASTA and FASTQ files, plain or gzip.
 
-Each file is one input partition and is read as a stream.  Long sequences come in parts of `chunk` bases that overlap by `overlap`
-bases, so a chromosome is never one row; parts of a record share its ordinal.
+`read_fastx` reads local (or mounted) files: each file is one input partition and is read as a stream.  Long sequences come in parts of `chunk` bases that overlap by `overlap`
+bases, so a chromosome is never one row; parts of a record share its ordinal.  `read_fasta` reads FASTA files from any file
+system that Spark reads, in built-in functions, and splits large plain files by byte range.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ import gzip
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from strandmill.sources.paths import resolve
 from strandmill.types import RECORDS
@@ -123,3 +126,29 @@ def read_fastx(
     listed = paths if isinstance(paths, str) else "\n".join(paths)
     reader = spark.read.format("fastx").option("chunk", chunk).option("overlap", k - 1)
     return reader.option("checkExtension", str(check_extension).lower()).load(listed)
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str], k: int = 21, chunk: int = 1 << 20) -> DataFrame:
+    """Records of FASTA files or folders, plain or compressed, as rows of the same form and order as those of `read_fastx`.
+
+    Each record is one row until it is cut into parts, so it must fit into a task's memory.  `file_name` is the file's URI.
+    Anything before the first header is an error.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(paths)
+    place = F.struct(F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("begin"))
+    raw = raw.select(place.alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    # rows of a split are in order; a split's first ordinal is the number of records in the splits before it
+    splits = raw.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("at.file_name").orderBy("at.begin").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = raw.join(splits, "at").withColumn("ordinal", F.col("before") + F.col("id") - F.col("first"))
+    broken = F.raise_error(F.concat(F.col("at.file_name"), F.lit(": not FASTA")))
+    first = F.when(F.startswith("value", F.lit(">")), F.expr("substr(value, 2)")).otherwise(broken)
+    rows = rows.withColumn("value", F.when(F.col("ordinal") == 0, first).otherwise(F.col("value")))
+    header = F.substring_index("value", "\n", 1)
+    seq = F.translate(F.substr("value", F.length(header) + 2), " \t\r\n", "")
+    rows = rows.select("at.file_name", "ordinal", F.rtrim(header, F.lit("\r")).alias("name"), seq.alias("seq"))
+    parts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length("seq") - (k - 1)) / F.lit(chunk)) - 1, F.lit(0)).cast("long"))
+    rows = rows.select("file_name", "ordinal", "name", "seq", F.explode(parts).alias("part"))
+    part = F.substr("seq", (F.col("part") * chunk + 1).cast("int"), F.lit(chunk + k - 1))
+    return rows.select("file_name", "ordinal", "name", "part", part.alias("seq"))

@@ -12,7 +12,7 @@ from strandmill.operators.index import coarser, hash_values, index_detail, index
 from strandmill.operators.search import compare, result_lines, search, two_decimals
 from strandmill.operators.sketch import collapse, sketch, union
 from strandmill.sources.exchange import read_exchange, to_exchange, write_exchange
-from strandmill.sources.fastx import read_fastx, split_parts
+from strandmill.sources.fastx import read_fasta, read_fastx, read_records, split_parts
 from strandmill.sources.paths import has_sequence_extension, resolve
 from strandmill.sources.results import print_results, write_results
 from strandmill.streaming.screen import screen
@@ -292,3 +292,57 @@ def test_kmer_counts(spark, monkeypatch):
     for r in rows.collect():
         found = sequences.packed_kmers(sequences.normal_bytes(seqs[r["i"]] or ""), 21).tolist()
         assert tuple(r["n"]) == (len(found), len(set(found)))
+
+
+def test_fasta_by_byte_ranges(spark, tmp_path):
+    """The same records and order as the streaming reader, from small splits and from compressed files."""
+    rng = random.Random(11)
+    text = "".join(f">r{i} x>y\n" + "\n".join(dna(i, rng.randrange(1, 90)) for _ in range(rng.randrange(0, 5))) + "\n" for i in range(300))
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa").write_text(">only\r\nACGT ac\r\nGT\r\n>\n")
+    with gzip.open(tmp_path / "c.fa.gz", "wt") as out:
+        out.write(text[: len(text) // 2])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        found = read_fasta(spark, str(tmp_path), 5, 40).collect()
+        assert read_fasta(spark, str(tmp_path / "a.fa"), 5, 40).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    def whole(rows):
+        out = {}
+        for r in sorted(rows, key=lambda r: (r["file_name"], r["ordinal"], r["part"])):
+            key = (r["file_name"].rsplit("/", 1)[1], r["ordinal"], r["name"])
+            out[key] = out.get(key, "")[: r["part"] * 40] + r["seq"]
+        return out
+    expected_rows = [(f"/{n}", i, name, 0, "".join("".join(x.split()) for x in lines)) for n in ("a.fa", "b.fa", "c.fa.gz")
+                     for i, (name, lines) in enumerate((a, list(b)) for a, b in read_records(str(tmp_path / n)))]
+    assert whole(found) == {(f[1:], i, n): s for f, i, n, _, s in expected_rows}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "d.fa").write_text("ACGT\n>x\nA\n")
+    with pytest.raises(Exception, match="not FASTA"):
+        read_fasta(spark, str(tmp_path / "bad")).collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strandmill.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text(f">a\n{dna(1, 400)}\n")
+    (tmp_path / "in" / "b.fa").write_text(f">b\n{dna(1, 400)[:200]}{dna(2, 100)}\n")
+    (tmp_path / "in" / "notes.txt").write_text("x")
+    (tmp_path / "q.fa").write_text(f">q\n{dna(1, 400)[:150]}\n")
+    index, exchange, source = str(tmp_path / "index"), str(tmp_path / "sig"), str(tmp_path / "in")
+    main(["-s", "sketch", source, "-o", index, "--algorithm", "ahash"])
+    main(["-s", "sketch", source, "-o", exchange, "--format", "exchange", "--algorithm", "ahash"])
+    main(["stats", "-i", index, "-s"])
+    assert capsys.readouterr().out.split() == ["2", str(380 + 280)]
+    main(["stats", "-i", index])
+    assert [x.split("\t")[4] for x in capsys.readouterr().out.splitlines()] == ["380", "280"]
+    main(["dist", "-i", str(tmp_path / "q.fa"), "-d", index])
+    assert [x.split("\t")[2:] for x in capsys.readouterr().out.splitlines()] == [["130", "130", "100.00"]] * 2
+    main(["dist", "-i", str(tmp_path / "q.fa"), "-d", exchange, "-o", str(tmp_path / "out")])
+    lines = [x.split("\t") for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x[2:] for x in lines] == [["130", "280", "46.43"], ["130", "380", "34.21"]]
+    with pytest.raises(SystemExit):
+        main(["sketch", str(tmp_path / "none.fa"), "-o", str(tmp_path / "x")])
