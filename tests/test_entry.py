@@ -23,3 +23,15 @@ def test_the_rest_works_without_the_optional_part(tmp_path):
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'search_containment' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_a_missing_library_is_no_missing_part(tmp_path):
+    """Without a library that the optional part needs, its queries don't just go."""
+    if not os.path.isdir(os.path.join(ROOT, "strandmill", "llm")):
+        return
+    (tmp_path / "sentencepiece.py").write_text("")
+    (tmp_path / "ahocorasick.py").write_text("raise ModuleNotFoundError('no ahocorasick', name='ahocorasick')")
+    code = "import __spark_entry__"
+    env = {**os.environ, "PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode and "no ahocorasick" in done.stderr
