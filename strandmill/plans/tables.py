@@ -101,7 +101,7 @@ def _named_postings(sketches: Sketches) -> DataFrame:
 
 
 def sketch_fracminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named_postings(benchmark_sketches(spark, sf_dir))
+    return _named_postings(document_sketches(spark, sf_dir))
 
 
 def sketch_bottom_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def sketch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posting_lists(benchmark_sketches(spark, sf_dir)).select("hash", "n", F.concat_ws(",", "sketch_ids").alias("sketch_ids"))
+    return posting_lists(document_sketches(spark, sf_dir)).select("hash", "n", F.concat_ws(",", "sketch_ids").alias("sketch_ids"))
 
 
 def index_coarser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +386,7 @@ ORACLES: dict[str, str] = {
     "hash_murmur3_long": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_murmur3_long()}",
     "hash_xxh3": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_xxh3()}",
     "hash_xxh3_long": f"SELECT DISTINCT id AS item_id, kmer, {_SIGNED} AS hash FROM {_xxh3_long()}",
-    "sketch_fracminhash": f"WITH {_sketches('q', _Q)} SELECT sid AS sketch_id, name, n AS num_kmers, {_SIGNED} AS hash FROM qh JOIN qs USING (id)",
+    "sketch_fracminhash": f"WITH {_sketches('d', _D)} SELECT sid AS sketch_id, name, n AS num_kmers, {_SIGNED} AS hash FROM dh JOIN ds USING (id)",
     "sketch_bottom_n": f"""
 WITH h AS (SELECT f, u FROM (SELECT f, u, row_number() OVER (PARTITION BY f ORDER BY u) AS r
   FROM (SELECT DISTINCT f, u FROM {_ahash(_D)})) WHERE r <= {NMAX}),
@@ -405,8 +405,8 @@ SELECT sid AS sketch_id, f AS file_name, CAST(n AS BIGINT) AS num_kmers, coalesc
 SELECT sid AS sketch_id, f AS file_name, name, n AS num_kmers FROM qs
 UNION ALL SELECT sid + (SELECT count(*) FROM qs), f, name, n FROM ds""",
     "index_postings": f"""
-WITH {_sketches('q', _Q)}
-SELECT {_SIGNED} AS hash, count(*) AS n, string_agg(sid, ',' ORDER BY sid) AS sketch_ids FROM qh JOIN qs USING (id) GROUP BY u""",
+WITH {_sketches('d', _D)}
+SELECT {_SIGNED} AS hash, count(*) AS n, string_agg(sid, ',' ORDER BY sid) AS sketch_ids FROM dh JOIN ds USING (id) GROUP BY u""",
     "index_summary": f"""
 WITH {_sketches('d', _D)} SELECT (SELECT count(*) FROM ds) AS num_sketches, (SELECT count(*) FROM dh) AS num_postings""",
     "index_detail": f"""
