@@ -65,27 +65,26 @@ def sketch(
     group = ["file_name", "ordinal", "name"] if singleton else ["file_name"]
     # ids and postings both build on the hashes, so the sequences are read and hashed once
     made = cut(records.select(*group, sketch_column(F.col("seq"), k, fscale, nmax, algorithm).alias("hashes")))
-    hashes = made.select(*group, F.explode("hashes").alias("hash"))
-    hashes = hashes.distinct() if nmax is None else bottom_hashes(hashes, group, nmax)
-    listed = made.select(*group).distinct()
-    sized = hashes.groupBy(*group).agg(F.count("*").alias("num_kmers"))
-    same = [listed[c].eqNullSafe(sized[c]) for c in group]
-    sized = listed.join(sized, same, "left").select(*[listed[c] for c in group], F.coalesce("num_kmers", F.lit(0)).alias("num_kmers"))
-    sigs = number_rows(sized, group[:2], "sketch_id").select(
+    ids = number_rows(made.select(*group).distinct(), group[:2], "sketch_id")
+    own = ids.toDF(*[f"__{c}" for c in group], "sketch_id")
+    # joined before the hashes are spread out, which then go as pairs of numbers
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
+    owned = made.join(own, same).select("sketch_id", F.explode("hashes").alias("hash"))
+    postings = owned.distinct() if nmax is None else bottom_hashes(owned, ["sketch_id"], nmax)
+    sizes = postings.groupBy("sketch_id").agg(F.count("*").alias("n"))
+    count = F.coalesce("n", F.lit(0)).cast("long")
+    name = "custom" if callable(algorithm) else algorithm
+    sigs = ids.join(sizes, "sketch_id", "left").select(
         "sketch_id",
         "file_name",
-        (F.col("name") if singleton else F.col("file_name")).alias("name"),
-        *([F.col("ordinal")] if singleton else []),
-        F.col("num_kmers").cast("long").alias("num_kmers"),
-        F.col("num_kmers").cast("long").alias("num_hashes"),
+        F.col("name" if singleton else "file_name").alias("name"),
+        count.alias("num_kmers"),
+        count.alias("num_hashes"),
         F.lit(k).alias("kmer_size"),
         F.lit(fscale).cast("long").alias("fscale"),
-        F.lit("custom" if callable(algorithm) else algorithm).alias("algorithm"),
+        F.lit(name).alias("algorithm"),
     )
-    keys = ["file_name", "ordinal"] if singleton else ["file_name"]
-    on = [hashes[c].eqNullSafe(sigs[c]) for c in keys]
-    postings = hashes.join(sigs, on).select("hash", "sketch_id")
-    return Sketches(sigs.drop("ordinal"), postings, k, fscale, "custom" if callable(algorithm) else algorithm)
+    return Sketches(sigs, postings.select("hash", "sketch_id"), k, fscale, name)
 
 
 def collapse(sketches: Sketches) -> Sketches:
