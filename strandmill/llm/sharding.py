@@ -6,18 +6,21 @@ A child's draw depends on its own name and weight only, so if weights change bel
 only into or out of subtrees whose weights changed.  `grow` opens a region of its own for one more shard: no
 weight of an old subtree changes, so rows move only into the new shard.
 
-Placement is a projection without a shuffle.  Slots are numbered in blocks: counts by (shard, block) give each block's
-offset, so no task holds a whole shard.
+Placement is a projection without a shuffle.  Slots are numbered in blocks, by a hash of the row's key: counts by (shard,
+block) give each block's offset, so no task holds a whole shard, and a row's slot hangs on the rows alone, not on how they are
+stored.  Rows that repeat one key more often than a block is large have blocks of their own, after all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandmill.lineage import cut
-from strandmill.llm.common import table
+from strandmill.llm.common import narrow, shield, table
 
 #: region -> rack -> shard -> weight
 Tree = dict[str, dict[str, dict[int, float]]]
@@ -74,21 +77,39 @@ def shard_of(key: Column, tree: Tree, seed: int = 0) -> Column:
     return _descend(tree, "", key, seed)
 
 
-def number_slots(placed: DataFrame) -> DataFrame:
-    """Adds `slot`, gapless from 0 within each `shard`, to rows that have a `shard` column."""
-    rows = placed.drop("slot")
-    blocks = max(_LEAST_BLOCKS, -(-rows.count() // _ROWS_PER_BLOCK))
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    rows = cut(rows.withColumn("__block", spread))
-    counts = rows.groupBy("shard", "__block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("shard", "__block").orderBy(*rows.columns[:1]))
+def number_slots(placed: DataFrame, key: Sequence[str] = ("doc_id", "text_crc32", "size")) -> DataFrame:
+    """Adds `slot`, gapless from 0 within each `shard`, to rows that have a `shard` column.
+
+    Rows are ordered by a hash of the `key` columns and these; nulls are keys like any other.  Rows with equal keys may have each
+    other's slots.  Extra columns of any name pass through; a column named `slot` is replaced.  An empty table gives an empty
+    result.
+    """
+    rows, back = shield(placed, ["shard", *key], ["slot"])
+    rows = rows.withColumn("__hash", F.xxhash64(*key))
+    n_rows = rows.count()
+    blocks = max(_LEAST_BLOCKS, -(-n_rows // _ROWS_PER_BLOCK))
+    # at most one in _ROWS_PER_BLOCK rows names such a key
+    often = rows.groupBy("__hash").agg(F.count("*").alias("n")).where(F.col("n") > _ROWS_PER_BLOCK)
+    often = cut(often.select("__hash", F.ceil(F.col("n") / _ROWS_PER_BLOCK).cast("int").alias("__parts")))
+    hot = F.col("__parts").isNotNull()
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts"))
+    rows = narrow(rows, often, ["__hash"], "left").withColumns(
+        {
+            "__own": F.when(hot, F.col("__hash").bitwiseAND(F.lit((1 << 62) - 1)) + 1).otherwise(F.lit(0)),
+            "__block": F.when(hot, part).otherwise(F.pmod(F.col("__hash"), F.lit(blocks))).cast("int"),
+        }
+    )
+    rows = cut(rows.drop("__parts"))
+    block = ["shard", "__own", "__block"]
+    counts = rows.groupBy(*block).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("__own", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*block).orderBy("__hash", *key))
     return (
         rows.withColumn("__within", within)
-        .join(offsets, ["shard", "__block"])
+        .join(offsets, block)
         .withColumn("slot", F.col("__before") + F.col("__within") - 1)
-        .select(*placed.drop("slot").columns, "slot")
+        .select(*back, "slot")
     )
 
 
@@ -96,20 +117,20 @@ def place(docs: DataFrame, tree: Tree, seed: int = 0) -> DataFrame:
     """Adds `size`, `text_crc32`, `law`, `shard` and `grown_shard` (with one more shard) to every row of `docs`.
 
     The law is `key`: doc_id and the tree decide.  `size` is the text's UTF-8 bytes plus 1; a null text counts no
-    bytes and has a null checksum.  Rows that repeat a doc_id share a shard; rows without doc_id share one.  Extra
-    columns pass through; columns named like the added ones are replaced.  An empty table gives an empty result.
+    bytes and has a null checksum.  Rows that repeat a doc_id share a shard; rows without doc_id share one.  Extra columns of any
+    name pass through; columns named like the added ones are replaced.  An empty table gives an empty result.
     """
-    text = F.col("text").cast("binary")
+    added = ["size", "text_crc32", "law", "shard", "grown_shard"]
+    docs, back = shield(docs, ["doc_id", "text"], added)
     key = F.col("doc_id")
-    return docs.withColumns(
-        {
-            "size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
-            "text_crc32": F.crc32(text),
-            "law": F.lit("key"),
-            "shard": shard_of(key, tree, seed),
-            "grown_shard": shard_of(key, grow(tree), seed),
-        }
-    )
+    made = [
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"),
+        F.crc32(F.col("text").cast("binary")),
+        F.lit("key"),
+        shard_of(key, tree, seed),
+        shard_of(key, grow(tree), seed),
+    ]
+    return docs.select(*back, *[c.alias(n) for n, c in zip(added, made, strict=True)])
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
