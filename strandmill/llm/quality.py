@@ -7,16 +7,14 @@ the pooled features are averaged over the chunks and combined by a logistic unit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import extend, table
+from strandmill.llm.common import extend, shield, table
 from strandmill.llm.language import held_out
 
 FILTERS, WIDTH, CHUNK = 16, 5, 256
@@ -32,12 +30,16 @@ class Network:
     offset: float
 
     def chunk_features(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Max-pooled activations of chunks (n, CHUNK + WIDTH - 1) and the place of each maximum."""
-        out = self.filters[0][chunks[:, :CHUNK]]
-        for k in range(1, WIDTH):
-            out += self.filters[k][chunks[:, k : k + CHUNK]]
-        place = out.argmax(axis=1)
-        return np.maximum(np.take_along_axis(out, place[:, None], axis=1)[:, 0] + self.bias, 0), place
+        """Max-pooled activations of chunks (n, CHUNK + WIDTH - 1) and the place of each maximum, a few chunks at a time."""
+        pooled, places = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+        for first in range(0, len(chunks), 128):
+            part = chunks[first : first + 128]
+            out = self.filters[0][part[:, :CHUNK]]
+            for k in range(1, WIDTH):
+                out += self.filters[k][part[:, k : k + CHUNK]]
+            place = places[first : first + 128] = out.argmax(axis=1)
+            pooled[first : first + 128] = np.take_along_axis(out, place[:, None], axis=1)[:, 0] + self.bias
+        return np.maximum(pooled, 0), places
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.offset, -30, 30)))
@@ -84,7 +86,7 @@ def score(network: Network, texts: list[str | None]) -> np.ndarray:
     return network.probability(sums / np.maximum(sizes, 1)[:, None])
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.02, seed: int = 5) -> Network:
+def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.02, seed: int = 5) -> Network:
     """Fits the network by Adam on the chunks of labelled texts."""
     rng = np.random.default_rng(seed)
     prior = float(np.clip(labels.mean(), 0.01, 0.99))
@@ -105,15 +107,14 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: f
             counts = np.array([len(samples[i]) for i in batch])
             owner = np.repeat(np.arange(len(batch)), counts)
             pooled, place = net.chunk_features(chunks)
-            features = np.zeros((len(batch), FILTERS), np.float32)
-            np.add.at(features, owner, pooled)
-            features /= counts[:, None]
+            features = np.add.reduceat(pooled, np.cumsum(counts) - counts, axis=0) / counts[:, None]
             error = ((net.probability(features) - labels[batch]) / len(batch)).astype(np.float32)
             back = (error[:, None] * net.weights / counts[:, None])[owner] * (pooled > 0)
             slope = np.zeros_like(net.filters)
-            rows = np.arange(len(chunks))[:, None]
+            rows, columns = np.arange(len(chunks))[:, None], np.arange(FILTERS)[None]
             for k in range(WIDTH):
-                np.add.at(slope[k], (chunks[rows, place + k], np.arange(FILTERS)[None]), back)
+                spots = chunks[rows, place + k].astype(np.int64) * FILTERS + columns
+                slope[k] = np.bincount(spots.ravel(), back.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             slopes = [slope + 1e-5 * net.filters, back.sum(axis=0), features.T @ error, np.array([error.sum()])]
             step += 1
             moves = []
@@ -128,10 +129,12 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: f
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 2400, chunks: int = 12) -> Network | None:
-    """Fits on at most `rows` labelled rows, those with the smallest hash of doc_id, and `chunks` evenly spread chunks of each.
+def train(docs: DataFrame, labels: DataFrame, rows: int = 2400) -> Network | None:
+    """Fits on the whole texts of at most `rows` labelled rows, those with the smallest hash of doc_id; None without any.
 
-    Only rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.
+    Only rows whose crc32(doc_id as text) mod 5 is not 0 are learned from.  Null texts count as empty.  A doc_id that repeats,
+    in `docs` or `labels`, gives a row for each pair, in an order of hashes, and the bound holds for all of them; labels
+    other than 0 and 1 and rows without doc_id are left out.
     """
     usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     total = usable.count()
@@ -140,26 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2400, chunks: int = 12
     rank = F.xxhash64(F.lit(23), "doc_id").bitwiseAND(F.lit((1 << 62) - 1))
     limit = int(min(1.0, 1.3 * rows / total) * (1 << 62))
     chosen = usable.withColumn("rank", rank).where(F.col("rank") <= limit).orderBy("rank", "quality").limit(rows)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            packed = []
-            for text in batch["text"]:
-                all_chunks = chunked(text)
-                pick = np.unique(np.linspace(0, len(all_chunks) - 1, chunks).astype(int))
-                packed.append(np.ascontiguousarray(all_chunks[pick]).tobytes())
-            yield batch.drop(columns="text").assign(packed=packed)
-
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "rank", "quality", "text")
-    found = sample.mapInPandas(spread, "doc_id long, rank long, quality int, packed binary").limit(2 * rows).toPandas()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("rank", "quality", "text")
+    found = sample.orderBy("rank", F.xxhash64("text"), "quality").limit(rows).toPandas()
     if not len(found):
         return None
-    found = found.sort_values(["rank", "doc_id", "quality", "packed"])
-    span = CHUNK + WIDTH - 1
-    return fit(
-        [np.frombuffer(p, dtype=np.uint8).reshape(-1, span) for p in found["packed"]],
-        found["quality"].to_numpy(dtype=np.float32),
-    )
+    return fit([chunked(t) for t in found["text"]], found["quality"].to_numpy(dtype=np.float32))
 
 
 def _score(shared):
@@ -175,12 +163,12 @@ def classify(docs: DataFrame, network: Network | None) -> DataFrame:
     """Adds `score` (the probability of label 1) and `predicted` to every row of `docs`.
 
     Null and empty texts are scored as one chunk of zero bytes.  Without a network (nothing to learn from) every score is
-    0.5.  Each row is scored by its own text alone.  Extra columns pass through; columns named like the added ones are
-    replaced.  An empty table gives an empty result.
+    0.5.  Each row is scored by its own text alone.  Extra columns of any name pass through; columns named like
+    the added ones are replaced.  An empty table gives an empty result.
     """
-    docs = docs.drop("score", "predicted")
+    docs, back = shield(docs, ["text"], ["score", "predicted"])
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    return extend(docs, _score(shared), ["text"], "score double, predicted int")
+    return extend(docs, _score(shared), ["text"], "score double, predicted int").select(*back, "score", "predicted")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
