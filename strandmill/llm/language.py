@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandmill.llm.common import extend, table
+from strandmill.llm.common import extend, shield, table
 from strandmill.llm.kernels import slices
 
 DIMENSIONS = 4096
@@ -188,17 +189,25 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": batch["lang"].iloc[part], "rank": batch["rank"].iloc[part], "row": packed, "start": starts})
 
 
-def train(docs: DataFrame, per_language: int = 400, clusters: int = 4) -> Model | None:
-    """Fits on at most `per_language` rows of each language, those with the smallest hash of doc_id."""
+def train(docs: DataFrame, per_language: int = 400, clusters: int = 4, max_languages: int = 64) -> Model | None:
+    """Fits on at most `per_language` rows of each of the `max_languages` most frequent languages; None without any labels.
+
+    The rows are those with the smallest hash of doc_id and text.  Rows that repeat both count once; null texts and rows without
+    doc_id or language are left out, as are those whose crc32(doc_id as text) mod 5 is 0.
+    """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["count"] for r in common.collect()}
     if not sizes:
         return None
-    rank = F.xxhash64(F.lit(17), "doc_id").bitwiseAND(F.lit((1 << 62) - 1))
+    rank = F.xxhash64(F.lit(17), "doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
     limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.5 * per_language / n) * (1 << 62))])
-    chosen = usable.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= F.element_at(limit, F.col("lang")))
+    chosen = usable.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= F.try_element_at(limit, F.col("lang")))
+    chosen = chosen.groupBy("lang", "rank").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
     rows = chosen.mapInPandas(_features, "lang string, rank long, row binary, start string").toPandas()
-    rows = rows.sort_values(["lang", "rank"]).groupby("lang").head(per_language)
+    rows = rows.sort_values(["lang", "rank"])
     vectors = np.frombuffer(b"".join(rows["row"]), dtype=np.int32).reshape(-1, DIMENSIONS)
     return fit(vectors, rows["lang"].tolist(), rows["start"].tolist(), clusters)
 
@@ -220,12 +229,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds `lang_pred`, `score` (the cosine, 0 to 1) and `rejected` to every row of `docs`.
 
     Null texts and texts without a letter are `und` with score 0 and rejected, as is every row without a model (nothing to
-    learn from).  Ties go to the first language in sorted order.  Extra columns pass through; columns named like the
-    added ones are replaced.  An empty table gives an empty result.
+    learn from).  Ties go to the first language in sorted order.  Each row is judged by its own whole text.  Extra columns of
+    any name pass through; columns named like the added ones are replaced.  An empty table gives an empty result.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
+    added = ["lang_pred", "score", "rejected"]
+    docs, back = shield(docs, ["text"], added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return extend(docs, _predict(shared), ["text"], "lang_pred string, score double, rejected boolean")
+    out = extend(docs, _predict(shared), ["text"], "lang_pred string, score double, rejected boolean")
+    return out.select(*back, *added)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
