@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import extend, table
+from strandmill.llm.common import extend, shield, table
 from strandmill.llm.kernels import mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -271,19 +271,19 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int
 
     A null text has null tokens and an empty text one token, the space that the model puts first.  Rows with the same doc_id and
     text get the same tokens, and any others draws of their own; a null doc_id is a key like any other.  Extra columns
-    pass through; a column named like the added one is replaced.  An empty table gives an empty result.
+    of any name pass through; a column named like the added one is replaced.  An empty table gives an empty result.
     """
 
     def run(texts: pa.Array, keys: pa.Array) -> tuple[list]:
         return (codec(model, dropout, seed).encode(texts.to_pylist(), keys.to_pylist()),)
 
-    docs = docs.drop("tokens", "__key")
+    docs, back = shield(docs, ["doc_id", "text"], ["tokens"])
     keyed = docs.withColumn("__key", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    return extend(keyed, run, ["text", "__key"], "tokens array<int>", drop=["__key"])
+    return extend(keyed, run, ["text", "__key"], "tokens array<int>", drop=["__key"]).select(*back, "tokens")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Adds `decoded`, the text that `tokens` stand for (null for null), to every row."""
+    """Adds `decoded`, the text that `tokens` stand for (null for null), to every row; a column of that name is replaced."""
 
     def run(tokens: pa.Array) -> tuple[list]:
         made = codec(model)
@@ -291,7 +291,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         rows = zip(tokens.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True)
         return ([made.decode(ids[a:b].tolist()) if known else None for known, a, b in rows],)
 
-    return extend(encoded.drop("decoded"), run, ["tokens"], "decoded string")
+    encoded, back = shield(encoded, ["tokens"], ["decoded"])
+    return extend(encoded, run, ["tokens"], "decoded string").select(*back, "decoded")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
