@@ -28,11 +28,18 @@ def corpus():
     return rows
 
 
+CLASHING = ["base", "found", "share", "gone", "copies", "spans", "w", "n", "id", "class", "doc", "key", "a.b", "a`b", "__key_a", "__x0", "task", "high"]
+
+
 @pytest.fixture(scope="session")
 def documents(spark, corpus):
-    """The corpus as a table with extra columns, some named like those that operators add."""
-    rows = [(d, t, "en", f"s{i % 3}", i, True, "x") for i, (d, t) in enumerate(corpus)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label int, kept boolean, `a b` string")
+    """The corpus as a table with extra columns, some named like those that operators add or make up."""
+    more = [f"v{i}" for i in range(len(CLASHING))]
+    rows = [(d, t, "en", f"s{i % 3}", i, True, "x", *more) for i, (d, t) in enumerate(corpus)]
+    names = ["doc_id", "text", "lang", "source", "label", "kept", "a b", *CLASHING]
+    kinds = ["long", "string", "string", "string", "int", "boolean", "string", *["string"] * len(CLASHING)]
+    schema = ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds, strict=True))
+    return spark.createDataFrame(rows, schema)
 
 
 @pytest.fixture(scope="session")
