@@ -1,8 +1,9 @@
 """A Spark data source for FASTA and FASTQ files, plain or gzip.
 
-`read_fastx` reads local (or mounted) files: each file is one input partition and is read as a stream.  Long sequences come in parts of `chunk` bases that overlap by `overlap`
-bases, so a chromosome is never one row; parts of a record share its ordinal.  `read_fasta` reads FASTA files from any file
-system that Spark reads, in built-in functions, and splits large plain files by byte range.
+`read_fastx` reads local (or mounted) files: each file is one input partition and is read as a stream.  Long sequences come in
+parts of `chunk` bases that overlap by `overlap` bases, so a chromosome is never one row; parts of a record share its ordinal.
+`read_fasta` reads FASTA files from any file system that Spark reads, in built-in functions, and splits large plain files by
+byte range.
 """
 
 from __future__ import annotations
