@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from strandmill.lineage import cut
 from strandmill.llm.common import components, shield, table
-from strandmill.llm.kernels import hash_series, mix64
+from strandmill.llm.kernels import hash_series, mix64, runs
 
 TABLES, PROBES, SCALE = 8, 16, 1.0
 #: Rows of one block of a cell, and of the tiles that are handed to Python at once.
-_BLOCK, _SHARD_ROWS = 256, 4000
+_BLOCK, _SHARD_ROWS = 1024, 4000
 
 
 def _neighbours() -> np.ndarray:
@@ -174,7 +174,7 @@ def _verify(least: float, seed: int):
             two = two[np.argsort(tile[two], kind="stable")]
             first = np.searchsorted(tile[two], tile[one], side="left")
             count = np.searchsorted(tile[two], tile[one], side="right") - first
-            for part in _runs(count, 50_000):
+            for part in runs(count, 50_000):
                 left = np.repeat(one[part], count[part])
                 place = np.arange(len(left)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
                 right = two[np.repeat(first[part], count[part]) + place]
@@ -196,16 +196,6 @@ def _verify(least: float, seed: int):
     return run
 
 
-def _runs(counts: np.ndarray, limit: int) -> Iterator[slice]:
-    """Consecutive slices with at most about `limit` in total, one element at least."""
-    total = np.cumsum(counts)
-    first = 0
-    while first < len(counts):
-        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + limit, side="right")))
-        yield slice(first, last)
-        first = last
-
-
 def _usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))

@@ -116,3 +116,13 @@ def slices(texts: Sequence, limit: int = _PIECE) -> Iterator[slice]:
         total += size + 1
     if first < len(texts):
         yield slice(first, len(texts))
+
+
+def runs(counts: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive slices with at most about `limit` in total, one element at least."""
+    total = np.cumsum(counts)
+    first = 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + limit, side="right")))
+        yield slice(first, last)
+        first = last

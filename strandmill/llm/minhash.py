@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.lineage import cut
-from strandmill.llm.common import components, extend, row_key, table, tidy
-from strandmill.llm.kernels import SPACE_SEPARATED, hash_series, mix64, slices, word_hashes
+from strandmill.llm.common import components, extend, narrow, row_key, shield, table, tidy
+from strandmill.llm.kernels import SPACE_SEPARATED, hash_series, mix64, runs, slices, word_hashes
 
 SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
@@ -31,6 +31,9 @@ RADIUS = 2 * CHUNKS - 1
 #: Rows of one block of a bucket, and of one block of sets; a task compares two blocks at a time.
 BUCKET_BLOCK, SET_BLOCK = 1024, 128
 
+#: Comparisons of signatures that one task is meant to make, how many tasks there are at most, and rows of tiles handled at once.
+_COMPARED, _MOST_TASKS, _SHARD_ROWS = 20_000_000, 100_000, 4000
+
 _MULTIPLY = hash_series(SYMBOLS, 1) | np.uint64(1)
 _ADD = hash_series(SYMBOLS, 2)
 
@@ -149,35 +152,36 @@ def _confirm_pairs(percent: int):
     return run
 
 
-def _bucket_tile(tile: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one tile within the radius and in different components, each in its first common key only."""
-    low, high = tile[1], tile[2]
-    chunk, out_of = divmod(int(tile[0]) & 63, CHUNK)
-    one = rows[rows["block"] == low]
-    two = rows[rows["block"] == high]
-    sig = np.frombuffer(b"".join(two["signature"]), np.uint16).reshape(-1, SYMBOLS)
-    ids, labels = two["id"].to_numpy(), two["label"].to_numpy()
-    blocks = two["set_block"].to_numpy()
-    out = []
-    for r in one.itertuples():
-        pick = np.flatnonzero((labels != r.label) & ((ids > r.id) if low == high else (ids != r.id)))
-        if not len(pick):
-            continue
-        differ = sig[pick] != np.frombuffer(r.signature, np.uint16)
-        errors = differ.reshape(len(pick), CHUNKS, CHUNK).sum(axis=2)
-        first = (errors <= 1).argmax(axis=1)
-        exact = errors[np.arange(len(pick)), first] == 0
-        place = differ[np.arange(len(pick)), chunk * CHUNK + out_of]
-        good = (errors.sum(axis=1) <= RADIUS) & (first == chunk) & np.where(exact, out_of == 0, place)
-        mates = pick[good]
-        out.append((np.full(len(mates), r.id), ids[mates], np.full(len(mates), r.set_block), blocks[mates]))
-    columns = ["tile_a", "tile_b", "one", "two"]
-    if not out:
-        return pd.DataFrame([], columns=columns)
-    first, second, own, other = (np.concatenate(x) for x in zip(*out, strict=True))
-    asked = pd.DataFrame({"tile_a": np.minimum(own, other), "tile_b": np.maximum(own, other), "one": first, "two": second})
-    packed = [(*key, g["one"].to_numpy(), g["two"].to_numpy()) for key, g in asked.groupby(["tile_a", "tile_b"])]
-    return pd.DataFrame(packed, columns=columns)
+def _bucket_tiles(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of the tiles dealt to one shard within the radius and in different components, each in its first common key only."""
+    tile = rows.groupby(["key", "low", "high"], sort=False).ngroup().to_numpy()
+    key, ids, labels, homes = (rows[c].to_numpy() for c in ("key", "id", "label", "set_block"))
+    low, high, block = (rows[c].to_numpy() for c in ("low", "high", "block"))
+    symbols = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, SYMBOLS)
+    one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    two = two[np.argsort(tile[two], kind="stable")]
+    first = np.searchsorted(tile[two], tile[one], side="left")
+    count = np.searchsorted(tile[two], tile[one], side="right") - first
+    found = [(one[:0], one[:0])]
+    for part in runs(count, 20_000):
+        left = np.repeat(one[part], count[part])
+        place = np.arange(len(left)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+        right = two[np.repeat(first[part], count[part]) + place]
+        new = (labels[left] != labels[right]) & np.where(low[left] == high[left], ids[right] > ids[left], ids[right] != ids[left])
+        left, right = left[new], right[new]
+        differ = symbols[left] != symbols[right]
+        near = np.count_nonzero(differ, axis=1) <= RADIUS
+        left, right, differ = left[near], right[near], differ[near]
+        errors, each = differ.reshape(-1, CHUNKS, CHUNK).sum(axis=2), np.arange(len(left))
+        earliest = (errors <= 1).argmax(axis=1)
+        chunk, out_of = np.divmod(key[left] & 63, CHUNK)
+        own = np.where(errors[each, earliest] == 0, out_of == 0, differ[each, chunk * CHUNK + out_of]) & (earliest == chunk)
+        found.append((left[own], right[own]))
+    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    own, other = homes[left], homes[right]
+    asked = pd.DataFrame({"tile_a": np.minimum(own, other), "tile_b": np.maximum(own, other), "one": ids[left], "two": ids[right]})
+    packed = [(*k, g["one"].to_numpy(), g["two"].to_numpy()) for k, g in asked.groupby(["tile_a", "tile_b"])]
+    return pd.DataFrame(packed, columns=["tile_a", "tile_b", "one", "two"])
 
 
 def _merge_tile(tile: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -230,22 +234,19 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
         .select("id", F.coalesce("component", "id").alias("label"), F.coalesce("home", "id").alias("home"))
     )
     nodes = cut(nodes)
-    spread = nodes.groupBy("home").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("parts"))
-    nodes = nodes.join(spread, "home").select(
-        "id", "label", F.xxhash64("home", F.pmod(F.hash("id"), "parts")).alias("set_block")
+    # only homes of more than a block are cut up, so at most one in SET_BLOCK rows names one
+    spread = nodes.groupBy("home").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    nodes = narrow(nodes, cut(spread), ["home"], "left").select(
+        "id", "label", F.xxhash64("home", F.pmod(F.hash("id"), parts)).alias("set_block")
     )
     open_rows = shared.where("n > 2").join(nodes, "id")
-    several = (
-        open_rows.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low != high")
-        .select("key")
-    )
-    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    several = open_rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("n"))
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")
+    several = cut(several.where("low != high").select("key", "n", blocks))
     tiles = (
-        open_rows.join(several, "key")
+        open_rows.drop("n").join(several, "key")
         .join(signed.select("id", "signature"), "id")
-        .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.hash("id"), "blocks"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
@@ -253,9 +254,13 @@ def links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataF
             F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
         )
     )
-    met = tiles.groupBy("key", "low", "high").applyInPandas(
-        _bucket_tile, "tile_a long, tile_b long, one array<long>, two array<long>"
-    )
+    # few bytes make much work here, so tasks are sized by the comparisons that wait
+    square = F.col("n") * F.col("n")
+    compared, dealt = (x or 0 for x in several.agg(F.sum(square), F.sum(F.col("n") * F.col("blocks"))).first())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(_MOST_TASKS, -(-compared // _COMPARED)))
+    shard = F.pmod(F.xxhash64("key", "low", "high"), F.lit(-(-dealt // _SHARD_ROWS) or 1)).alias("shard")
+    tiles = tiles.withColumn("shard", shard).repartition(tasks, "shard")
+    met = tiles.groupBy("shard").applyInPandas(_bucket_tiles, "tile_a long, tile_b long, one array<long>, two array<long>")
     wanted = "tile_a long, tile_b long, members array<long>, one array<long>, two array<long>"
     wanted = cut(met.groupBy("tile_a", "tile_b").applyInPandas(_merge_tile, wanted))
     members = wanted.select("tile_a", "tile_b", F.explode("members").alias("id")).join(sets, "id")
@@ -273,11 +278,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are lower-cased (A-Z) and split at ASCII white space; a set holds the distinct shingles of `width` words.
     Documents are linked if 100 * |intersection| >= percent * |union|.  Nulls and texts without words have an empty
     set and link with nothing.  A text of fewer words than `width` is one shingle.  Rows that repeat a doc_id count
-    as one document; rows without doc_id are kept and linked with nothing.  Extra columns pass through; columns
+    as one document; rows without doc_id are kept and linked with nothing.  Extra columns of any name pass through; columns
     named like the added ones are replaced.  An empty table gives an empty result.
     """
     added = ["n_shingles", "component_id", "kept"]
-    docs = docs.drop(*added)
+    docs, back = shield(docs, ["doc_id", "text"], added)
     rows = docs.select("doc_id", "text", *row_key("text"))
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = extend(rows, _sign(width), ["text"], "n_shingles long, signature binary", drop=["text"])
@@ -300,10 +305,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .join(classes, ["__key_a", "__key_b"], "left")
         .withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("__class")).cast("long"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(*docs.columns, *added)
+        .select(*back, *added)
     )
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Shingles are joined on their words; a document's component is the smallest doc_id that links reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE doc AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[s + 1 : s + 2], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 1))) AS s FROM doc WHERE len(w) > 0)
+), number AS MATERIALIZED (SELECT x, row_number() OVER () AS k FROM shingle GROUP BY x HAVING count(*) > 1),
+held AS MATERIALIZED (SELECT doc_id, k FROM shingle JOIN number USING (x)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM held a JOIN held b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM common c JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c.n >= 80 * (s.n + t.n - c.n)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc.doc_id, coalesce(n, 0) AS n_shingles, component_id, doc.doc_id = component_id AS kept
+FROM doc JOIN root ON root.a = doc.doc_id LEFT JOIN sizes USING (doc_id)
+"""
