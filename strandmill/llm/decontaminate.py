@@ -6,7 +6,8 @@ shingles ordered by rarity in the documents, is the single rarest one.  Document
 at position `p` fixes the only possible window start, which must lie inside the document (length and positional
 bounds), and the window's words are compared exactly with the document's.
 
-The prefix index is broadcast only up to `max_broadcast` windows; a larger benchmark is matched in blocks of that size.
+The prefix index is broadcast only up to `max_broadcast` windows; a larger benchmark is matched in blocks, dealt by hash, of
+three quarters of that size on average.  What a row's matches cover is summed up before the shuffle, once for each text.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandmill.lineage import cut
-from strandmill.llm.common import row_key, table
+from strandmill.llm.common import row_key, shield, table
 from strandmill.llm.native import words
 
 _SHINGLE = 3
@@ -39,7 +39,9 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
 
 def _positions(docs: DataFrame, width: int) -> DataFrame:
     """(w, p) for every position of the documents at which a shingle of `width` words starts."""
-    return docs.where(F.size("w") >= width).withColumn("p", F.explode(F.sequence(F.lit(0), F.size("w") - width)))
+    places = F.when(F.size("w") >= width, F.sequence(F.lit(0), F.size("w") - width))
+    # the outer form keeps Spark from filtering by size first, which would split every text twice
+    return docs.withColumn("p", F.explode_outer(places)).where(F.col("p").isNotNull())
 
 
 def _matches(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:
@@ -73,7 +75,7 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int, max_broadcast: int
     windows = cut(item_windows(items, size))
     found = []
     for width, count in sorted((r["width"], r["count"]) for r in windows.groupBy("width").count().collect()):
-        blocks = -(-count // max_broadcast)
+        blocks = 1 if count <= max_broadcast else -(-4 * count // (3 * max_broadcast))
         for block in range(blocks):
             here = windows.where((F.col("width") == width) & (F.pmod(F.xxhash64("window"), F.lit(blocks)) == block))
             found.append(_matches(docs, here.select("item_id", "window"), width))
@@ -83,37 +85,49 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int, max_broadcast: int
     return reduce(DataFrame.union, found)
 
 
+def _covered(spans: Column) -> Column:
+    """The number of words in a sorted array of (start, length)."""
+    start = F.struct(F.lit(0).alias("reach"), F.lit(0).alias("n"))
+
+    def add(seen: Column, span: Column) -> Column:
+        end = span["start"] + span["length"]
+        fresh = F.greatest(end - F.greatest(seen["reach"], span["start"]), F.lit(0))
+        return F.struct(F.greatest(seen["reach"], end).alias("reach"), (seen["n"] + fresh).alias("n"))
+
+    return F.coalesce(F.aggregate(spans, start, add)["n"], F.lit(0)).cast("long")
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = 13, max_broadcast: int = 200_000) -> DataFrame:
-    """Adds `n_words`, `n_hit`, `n_items`, `item_ids` and `contaminated` to every row of `docs`.
+    """Adds `n_words`, `n_hit`, `n_whole`, `n_items`, `item_ids` and `contaminated` to every row of `docs`.
 
-    A word inside any occurrence of an item window is hit; a document is contaminated if at least a twentieth of its
-    words are.  Nulls have no words.  Items without id, text or words match nothing; an id that repeats counts once.  Each
-    row is judged by its own text, also where doc_id is null or repeated.  Extra columns pass through; columns named like
-    the added ones are replaced.  Empty tables give empty results, or no hits.
+    A word inside any occurrence of an item window is hit (`n_whole`: of a window of `size` words, not of a shorter item); a
+    document is contaminated if at least a twentieth of its words are hit.  Nulls have no words.  Items without id, text or
+    words match nothing; an id that repeats counts once.  Each row is judged by its own text, also where doc_id is null or
+    repeated.  Extra columns of any name pass through; columns named like the added ones are replaced.  Empty tables give
+    empty results, or no hits.
     """
-    added = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
-    docs = docs.drop(*added)
+    added = ["n_words", "n_hit", "n_whole", "n_items", "item_ids", "contaminated"]
+    docs, back = shield(docs, ["text"], added)
     keys = dict(zip(("__key_a", "__key_b"), row_key("text"), strict=True))
     split = docs.select(*row_key("text"), words(F.col("text")).alias("w"))
-    hits = cut(occurrences(split, items.select("item_id", "text"), size, max_broadcast).distinct())
-    by_row = Window.partitionBy("__key_a", "__key_b").orderBy("start", "length")
-    end = F.col("start") + F.col("length")
-    reached = F.coalesce(F.max(end).over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = hits.select("__key_a", "__key_b", "start", "length").distinct()
-    fresh = spans.withColumn("fresh", F.greatest(end - F.greatest("start", reached), F.lit(0)))
-    covered = fresh.groupBy("__key_a", "__key_b").agg(F.sum("fresh").alias("n_hit"))
-    listed = hits.select("__key_a", "__key_b", F.col("item_id").cast("string").alias("item")).distinct()
-    listed = listed.groupBy("__key_a", "__key_b").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
-    found = covered.join(listed, ["__key_a", "__key_b"])
-    n_words, n_hit = F.col("n_words"), F.col("n_hit")
+    hits = occurrences(split, items.select("item_id", "text"), size, max_broadcast)
+    found = hits.groupBy("__key_a", "__key_b").agg(
+        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"),
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
+    )
+    whole = F.filter("spans", lambda x: x["length"] == size)
+    counts = [_covered(F.col("spans")).alias("n_hit"), _covered(whole).alias("n_whole")]
+    # cut, so that the join reads plain exchanges and Spark can split a text that very many rows share
+    found = cut(found.select("__key_a", "__key_b", *counts, "item_ids"))
+    zero = F.lit(0).cast("long")
     return (
         docs.withColumns(keys | {"n_words": F.size(words(F.col("text"))).cast("long")})
         .join(found, ["__key_a", "__key_b"], "left")
-        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
+        .withColumns({c: F.coalesce(c, zero) for c in ("n_hit", "n_whole")})
         .withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
         .withColumn("n_items", F.size("item_ids").cast("long"))
-        .withColumn("contaminated", (n_hit > 0) & (20 * n_hit >= n_words))
-        .select(*docs.columns, *added)
+        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        .select(*back, *added)
     )
 
 
