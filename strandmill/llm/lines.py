@@ -207,7 +207,8 @@ def drop_repeated_lines(
     newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     sized = texts.select((newlines + 1).alias("n"), F.spark_partition_id().alias("task"))
     lines, tasks = (x or 0 for x in sized.agg(F.sum("n"), F.max("task") + 1).first())
-    bits = min(max_filter_bits, 1 << max(13, (_BITS_PER_LINE * lines - 1).bit_length()))
+    bits = max(8, min(max_filter_bits, 1 << max(13, (_BITS_PER_LINE * lines - 1).bit_length())))
+    bits -= bits % (_SLICE_BITS if bits >= _SLICE_BITS else 8)
     shared = spark.sparkContext.broadcast(twice_filter(texts, bits, min_chars, tasks))
 
     keyed = docs.withColumns(dict(zip(("__key_a", "__key_b"), row_key("text"), strict=True)))
