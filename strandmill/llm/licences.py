@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,9 +148,9 @@ def _needle(phrase: str) -> str:
     return f" {phrase.replace(' ', '  ')} "
 
 
-def _spaced(text: Column) -> Column:
-    """The text's words, each between two spaces of its own; empty without words."""
-    joined = F.trim(F.regexp_replace(F.coalesce(lower_ascii(text), F.lit("")), SEPARATORS, "  "))
+def _spaced(lowered: Column) -> Column:
+    """The words of a lower-cased text, each between two spaces of its own; empty without words."""
+    joined = F.trim(F.regexp_replace(F.coalesce(lowered, F.lit("")), SEPARATORS, "  "))
     return F.when(joined == "", "").otherwise(F.concat(F.lit(" "), joined, F.lit(" ")))
 
 
@@ -159,7 +160,7 @@ def _spaces(text: Column) -> Column:
 
 def base_places(docs: DataFrame) -> DataFrame:
     """Adds `n_words`, `n_base`, `first_word`, `last_word` and `base` (the labels found by phrase)."""
-    out = docs.withColumn("__spaced", _spaced(F.col("text")))
+    out = docs.withColumn("__spaced", _spaced(lower_ascii(F.col("text"))))
     spaced = F.col("__spaced")
     n_words = (_spaces(spaced) / 2).cast("long")
     counts, firsts, lasts, labels = [], [], [], []
@@ -188,13 +189,20 @@ def base_places(docs: DataFrame) -> DataFrame:
 def key_places(texts: DataFrame) -> DataFrame:
     """(row key, template, keys): the positions of the templates' key phrases in the texts that hold them."""
 
+    listed = [F.struct(F.lit(i).alias("template"), F.array(*map(F.lit, key.split())).alias("key")) for i, (_, key, _) in enumerate(TEMPLATES)]
+    rarest = sorted({min(key.split(), key=lambda w: (sum(w in _listed(t) for *_, t in TEMPLATES), -len(w), w)) for _, key, _ in TEMPLATES})
+
     def held(spaced: Column) -> Column:
-        listed = [F.struct(F.lit(i).alias("template"), F.array(*map(F.lit, key.split())).alias("key")) for i, (_, key, _) in enumerate(TEMPLATES)]
-        return F.array_compact(F.array(*[F.when(F.contains(spaced, F.lit(_needle(t[1]))), x) for t, x in zip(TEMPLATES, listed, strict=True)]))
+        return F.array_compact(F.array(*[F.when(F.contains(spaced, F.lit(_needle(t[1])[1:])), x) for t, x in zip(TEMPLATES, listed, strict=True)]))
+
+    def likely(lowered: Column) -> Column:
+        # plain searches for each phrase's rarest word spare most texts the splitting
+        any_of = reduce(Column.__or__, [F.contains(lowered, F.lit(w)) for w in rarest])
+        return F.when(any_of, F.transform(F.array(_spaced(lowered)), held)[0])
 
     # a lambda's argument is computed once, where a column would be computed for each of its uses; the outer form keeps
     # Spark from filtering by the size of the list first, which would compute it twice
-    found = texts.select("__key_a", "__key_b", "text", F.inline_outer(F.transform(F.array(_spaced(F.col("text"))), held)[0]))
+    found = texts.select("__key_a", "__key_b", "text", F.inline_outer(F.transform(F.array(lower_ascii(F.col("text"))), likely)[0]))
     found = found.where(F.col("template").isNotNull())
     size = F.size("key")
 
@@ -221,7 +229,9 @@ def found_templates(texts: DataFrame) -> DataFrame:
     index = spark.createDataFrame(postings(), "word string, template int, place int, bit long")
     facts = spark.createDataFrame(template_facts(), "template int, label string, key_at int, least int, whole int")
     split = texts.select("__key_a", "__key_b", words(F.col("text")).alias("w")).withColumn("asked", _looked_up(F.col("w")))
-    hits = split.select("__key_a", "__key_b", "asked", F.posexplode_outer("w").alias("p", "word")).join(F.broadcast(index), "word")
+    # no template is found by fewer words
+    enough = F.when(F.size("asked") >= min(least for *_, least, _ in template_facts()), F.col("w"))
+    hits = split.select("__key_a", "__key_b", "asked", F.posexplode_outer(enough).alias("p", "word")).join(F.broadcast(index), "word")
     hits = hits.where(F.array_contains("asked", F.col("word")))
     agreed = hits.groupBy("__key_a", "__key_b", "template", (F.col("p") - F.col("place")).alias("at")).agg(F.bit_or("bit").alias("bits"))
     agreed = agreed.withColumn("votes", F.bit_count("bits")).join(F.broadcast(facts), "template").where("votes >= least")
