@@ -2,11 +2,13 @@
 
 1. Equal texts are one class.  A minimizer scheme picks anchors, phrases of 16 words, such that every window of 35 words
    contains the anchor with its smallest phrase hash; equal windows have equal anchors.  Anchors that occur once are dropped.
-2. Around each remaining anchor the words of all windows that contain it are cut out as a context.  Windows are counted by
-   hash over all contexts; those that occur at least twice are the recurring passages.
-3. Recurring windows are dealt to shards by anchor; each shard compiles an Aho-Corasick automaton over word sequences and
-   streams every context of its anchors, which confirms the passages word by word and locates every occurrence.  A shard with
-   many contexts is salted: its automaton is compiled in several tasks, so a phrase in every document splits as well.
+2. Around each remaining anchor the words of all windows that contain it are cut out as a context; a window outside of all
+   contexts occurs once.  Windows are counted by their own and their anchor's hash over all contexts; those that occur at
+   least twice are candidates, each with the words and the place of its first occurrence.
+3. Candidates are dealt to shards by anchor; each shard compiles an Aho-Corasick automaton over word sequences and streams
+   every context of its anchors.  An occurrence, word by word, at any other place than the candidate's own confirms that the
+   passage recurs, and both places are located; equal hashes alone remove nothing.  A shard with many contexts is salted:
+   its automaton is compiled in several tasks, so a phrase in every document splits as well.
 4. The words that located windows cover are removed.
 """
 
@@ -23,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.lineage import cut, discard, store
-from strandmill.llm.common import extend, row_key, table, tidy
+from strandmill.llm.common import extend, narrow, row_key, shield, table, tidy
 from strandmill.llm.kernels import SPACE_SEPARATED, mix64, slices, word_hashes
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STEP = 0xD1342543DE82EF95
-#: Recurring windows of one automaton, contexts of one task's share of a shard, and short rows that may be broadcast.
-_SHARD_WINDOWS, _SHARD_CONTEXTS, _BROADCAST_ROWS = 400, 1500, 1_000_000
+#: Recurring windows of one automaton and contexts of one task's share of a shard.
+_SHARD_WINDOWS, _SHARD_CONTEXTS = 400, 1500
 
 _KEYS = ["__key_a", "__key_b"]
 
@@ -112,30 +114,40 @@ def _contexts(window: int, phrase: int):
     return run
 
 
+def _runs(starts: np.ndarray, window: int) -> np.ndarray:
+    """Begin and end of each run of words that windows cover, from their sorted starts."""
+    breaks = np.flatnonzero(np.diff(starts) > window)
+    return np.stack([starts[np.append(0, breaks + 1)], starts[np.append(breaks, -1)] + window], axis=1).ravel()
+
+
 def _locate(window: int):
     def run(_: tuple, patterns: pd.DataFrame, contexts: pd.DataFrame) -> pd.DataFrame:
         ids: dict[str, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for text, places in zip(patterns["words"], patterns["places"], strict=True):
+        classes, starts = [], []
+        for of, begin, text, places in zip(patterns["class"], patterns["begin"], patterns["words"], patterns["places"], strict=True):
             words = [ids.setdefault(w, len(ids) + 1) for w in text.split(" ")]
             for place in places:
-                automaton.add_word(tuple(words[place : place + window]), 1)
+                automaton.add_word(tuple(words[place : place + window]), len(classes))
+                classes.append(of)
+                starts.append(begin + place)
         out = []
-        if len(automaton):
+        if classes:
             automaton.make_automaton()
-            known: dict[str, np.ndarray | None] = {}  # copies have contexts in common
+            own_class, own_start, confirmed = np.array(classes), np.array(starts), np.zeros(len(classes), dtype=bool)
+            known: dict[str, np.ndarray] = {}  # copies have contexts in common
             for of, begin, text in zip(contexts["class"], contexts["begin"], contexts["words"], strict=True):
                 if text not in known:
                     stream = tuple([ids.get(w, 0) for w in text.split(" ")])
-                    starts = np.array([end for end, _ in automaton.iter(stream)], dtype=np.int64) - window + 1
-                    breaks = np.flatnonzero(np.diff(starts) > window)
-                    if len(starts):
-                        low, high = starts[np.append(0, breaks + 1)], starts[np.append(breaks, -1)] + window
-                        known[text] = np.stack([low, high], axis=1).ravel()
-                    else:
-                        known[text] = None
-                if known[text] is not None:
-                    out.append((of, known[text] + begin))
+                    known[text] = np.array(list(automaton.iter(stream)), dtype=np.int64).reshape(-1, 2)
+                ends, which = known[text].T
+                at = ends - window + 1 + begin
+                other = (own_class[which] != of) | (own_start[which] != at)
+                if other.any():
+                    confirmed[which[other]] = True
+                    out.append((of, _runs(at[other], window)))
+            own = pd.Series(own_start[confirmed]).groupby(own_class[confirmed])
+            out += [(of, _runs(np.sort(at.to_numpy()), window)) for of, at in own]
         return pd.DataFrame(out, columns=["class", "spans"])
 
     return run
@@ -163,40 +175,35 @@ def _remove(window: int):
     return run
 
 
-def _narrow(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Joins rows to `small`, which is broadcast only if a count shows that it is small enough."""
-    return big.join(F.broadcast(small) if small.count() <= _BROADCAST_ROWS else small, on)
-
-
 def repeated_spans(classes: DataFrame, texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """(class, spans) of all words in recurring windows; `classes` has each distinct text's anchors, `texts` the texts."""
     spread = classes.select("class", F.explode("phrases").alias("phrase"))
     # an anchor that recurs within one text counts for each of its places
     often = cut(spread.groupBy("phrase").count().where("count > 1").select("phrase"))
-    recurring = _narrow(spread, often, ["phrase"]).groupBy("class").agg(F.collect_set("phrase").alias("recurring"))
+    recurring = narrow(spread, often, ["phrase"]).groupBy("class").agg(F.collect_set("phrase").alias("recurring"))
     recurring = cut(recurring.join(classes.select("class", *_KEYS, "doc"), "class"))
     schema = "class long, phrase long, begin long, words string, windows array<long>"
     wide = texts.join(recurring, [*_KEYS, "doc"]).select("class", "text", "recurring")
     contexts = wide.mapInPandas(tidy(_contexts(window, phrase)), schema)
     contexts, path = store(contexts.withColumn("context", F.monotonically_increasing_id()))
 
-    places = contexts.select("context", F.posexplode("windows").alias("place", "hash"))
+    places = contexts.select("phrase", "context", F.posexplode("windows").alias("place", "hash"))
     at = F.min(F.struct("context", "place")).alias("at")
-    counted = places.groupBy("hash").agg(F.count("*").alias("n"), at).where("n > 1")
+    counted = places.groupBy("phrase", "hash").agg(F.count("*").alias("n"), at).where("n > 1")
     chosen = counted.groupBy("at.context").agg(F.collect_list("at.place").alias("places"))
-    patterns = _narrow(contexts.select("context", "phrase", "words"), cut(chosen), ["context"])
-    patterns = cut(patterns.select("phrase", "words", "places"))
+    patterns = narrow(contexts.select("context", "phrase", "class", "begin", "words"), cut(chosen), ["context"])
+    patterns = cut(patterns.drop("context"))
     total = patterns.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = -(-total // _SHARD_WINDOWS) or 1
     shard = F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")
     salts = cut(contexts.groupBy(shard).agg(F.ceil(F.count("*") / _SHARD_CONTEXTS).cast("int").alias("salts")))
-    dealt = _narrow(patterns.select(shard, "words", "places"), salts, ["shard"])
-    dealt = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "words", "places")
-    streams = _narrow(contexts.select(shard, "class", "begin", "words"), salts, ["shard"])
+    dealt = narrow(patterns.select(shard, "class", "begin", "words", "places"), salts, ["shard"])
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    dealt = dealt.select("shard", every, "class", "begin", "words", "places")
+    streams = narrow(contexts.select(shard, "class", "begin", "words"), salts, ["shard"])
     salt = F.pmod(F.xxhash64("class", "begin"), "salts").cast("int")
     streams = streams.select("shard", salt, "class", "begin", "words").toDF("of_shard", "of_salt", "class", "begin", "words")
-    located = dealt.toDF("shard", "salt", "words", "places").groupBy("shard", "salt")
-    located = located.cogroup(streams.groupBy("of_shard", "of_salt")).applyInPandas(
+    located = dealt.groupBy("shard", "salt").cogroup(streams.groupBy("of_shard", "of_salt")).applyInPandas(
         _locate(window), "class long, spans array<long>"
     )
     spans = cut(located.groupBy("class").agg(F.collect_list("spans").alias("spans")))
@@ -209,10 +216,11 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, phrase: int = 16)
 
     Adds `kept_text` (the words that stay, joined by one space), `n_words` and `n_removed` to every row of `docs`.  Words are
     runs of anything but ASCII white space.  A null text has no words and a null `kept_text`.  Each row is a document, also
-    where doc_id is null or repeated, so the windows of repeated rows are all removed.  Extra columns pass through; columns
-    named like the added ones are replaced.  An empty table gives an empty result.
+    where doc_id is null or repeated, so the windows of repeated rows are all removed.  Extra columns of any name pass through;
+    columns named like the added ones are replaced.  An empty table gives an empty result.
     """
-    docs = docs.drop("kept_text", "n_words", "n_removed", "copies", "spans")
+    added = ["kept_text", "n_words", "n_removed"]
+    docs, back = shield(docs, ["doc_id", "text"], added)
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
     texts = docs.where("text is not null").select(*row_key("text"), doc, "text")
     schema = "__key_a long, __key_b long, doc string, phrases array<long>"
@@ -222,11 +230,9 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, phrase: int = 16)
     spans = repeated_spans(classes.where("phrases is not null"), texts, window, phrase)
     known = classes.select("class", *_KEYS, (F.col("n") > 1).alias("copies")).join(spans, "class", "left").drop("class")
     known = cut(known.where("copies or spans is not null"))
-    joined = docs.withColumns(dict(zip(_KEYS, row_key("text"), strict=True))).join(known, _KEYS, "left")
-    joined = joined.drop(*_KEYS)
-    joined = joined.withColumn("copies", F.coalesce("copies", F.lit(False)))
-    added = "kept_text string, n_words long, n_removed long"
-    return extend(joined, _remove(window), ["text", "copies", "spans"], added, drop=["text", "copies", "spans"])
+    joined = docs.withColumns(dict(zip(_KEYS, row_key("text"), strict=True))).join(known, _KEYS, "left").drop(*_KEYS)
+    out = extend(joined, _remove(window), ["text", "copies", "spans"], "kept_text string, n_words long, n_removed long")
+    return out.select(*back, *added)
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,3 +240,23 @@ def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_passages(docs)
     kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     return out.select("doc_id", "n_words", "n_removed", kept)
+
+
+#: Windows are compared by the text of their words.
+ORACLE_SQL = r"""
+WITH doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS MATERIALIZED (
+  SELECT rid, s, array_to_string(w[s + 1 : s + 35], ' ') AS t
+  FROM (SELECT rid, w, unnest(range(len(w) - 34)) AS s FROM doc WHERE len(w) >= 35)
+), again AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS p FROM win JOIN again USING (t)),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS p FROM doc),
+kept AS (
+  SELECT word.rid, count(*) AS n, string_agg(x, ' ' ORDER BY word.p) AS t
+  FROM word ANTI JOIN gone ON word.rid = gone.rid AND word.p = gone.p GROUP BY word.rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (rid)
+"""

@@ -22,7 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash": minhash.ORACLE_SQL,
+    "op2_passages": passages.ORACLE_SQL,
     "op6_licences": licences.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_lines": lines.ORACLE_SQL,
+    "op10_embeddings": embeddings.ORACLE_SQL,
 }
