@@ -4,9 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from strandmill.llm import embeddings, kernels, lines, minhash, passages
+from strandmill.llm import common, embeddings, kernels, lines, minhash, passages
 from strandmill.llm.common import components
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,6 +83,24 @@ def test_index_keys_find_all_pairs_within_the_radius():
     assert tail < 1e-6
 
 
+def test_signatures_of_similar_sets_stay_within_the_radius():
+    """Pairs of sets at a similarity of exactly 0.8, of real words, are all found by a common key."""
+    rng, far = np.random.default_rng(12), []
+    for size in (9, 18, 45, 90, 450, 1800):
+        for _ in range(100):
+            words = [f"w{x}" for x in rng.integers(0, 1 << 40, 11 * size // 9)]
+            shared, rest = size * 8 // 9, size // 9
+            # 8 parts in common and one part on each side: 8 / 10
+            texts = [" ".join(words[:shared] + words[shared + k * rest : shared + (k + 1) * rest]) for k in (0, 1)]
+            one, two = (np.array(sorted(minhash.shingle_sets([t], 1).__next__())) for t in texts)
+            assert len(np.intersect1d(one, two)) * 100 == 80 * len(np.union1d(one, two))
+            signed = minhash.signatures([one, two])
+            far.append(int((signed[0] != signed[1]).sum()))
+            keys = minhash.index_keys(signed)
+            assert set(keys[0].tolist()) & set(keys[1].tolist())
+    assert max(far) <= minhash.RADIUS - 3
+
+
 def test_minhash_of_nothing(no_documents):
     assert minhash.near_duplicates(no_documents).count() == 0
 
@@ -91,7 +110,7 @@ def test_passages_against_brute_force(documents, corpus, window, phrase, small,
     if small:
         monkeypatch.setattr(passages, "_SHARD_WINDOWS", 20)
         monkeypatch.setattr(passages, "_SHARD_CONTEXTS", 5)
-        monkeypatch.setattr(passages, "_BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     every = [SPACE.findall(t or "") for _, t in corpus]
     seen = Counter(tuple(w[i : i + window]) for w in every for i in range(len(w) - window + 1))
     want = Counter()
@@ -104,7 +123,19 @@ def test_passages_against_brute_force(documents, corpus, window, phrase, small,
         want[d, len(w), len(w) - len(kept), None if t is None else " ".join(kept)] += 1
     rows = passages.drop_repeated_passages(documents, window, phrase).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in rows) == want
-    assert "a b" in rows[0].asDict() and "label" in rows[0].asDict()
+    assert rows[0].asDict().keys() == {*documents.columns, "kept_text", "n_words", "n_removed"}
+
+
+def test_equal_hashes_alone_remove_nothing():
+    """A candidate whose words stand nowhere else stays, and one that recurs is located at both places."""
+    first, other = "a b c d e f", "x b c d e y"
+    patterns = pd.DataFrame([(1, 10, first, np.array([1, 2]))], columns=["class", "begin", "words", "places"])
+    alone = pd.DataFrame([(1, 10, first)], columns=["class", "begin", "words"])
+    both = pd.DataFrame([(1, 10, first), (2, 4, other)], columns=["class", "begin", "words"])
+    locate = passages._locate(3)
+    assert len(locate((), patterns, alone)) == 0
+    found = {r["class"]: r["spans"].tolist() for _, r in locate((), patterns, both).iterrows()}
+    assert found == {1: [11, 15], 2: [5, 9]}
 
 
 def test_equal_windows_have_equal_anchors():
@@ -134,14 +165,45 @@ def _kept_lines(corpus, min_docs, min_chars=1):
     return out
 
 
-@pytest.mark.parametrize(("min_docs", "min_chars", "bits"), [(10, 1, 1 << 28), (2, 1, 1 << 28), (2, 8, 64)])
-def test_lines_against_brute_force(documents, corpus, min_docs, min_chars, bits):
-    rows = lines.drop_repeated_lines(documents, min_docs, min_chars, bits).collect()
+@pytest.mark.parametrize(
+    ("min_docs", "min_chars", "bits", "most"),
+    [(10, 1, 1 << 28, 1 << 20), (2, 1, 1 << 28, 0), (2, 8, 64, 0), (2, 8, 101, 1 << 20), (2, 1, 5000, 1 << 20)],
+)
+def test_lines_against_brute_force(documents, corpus, min_docs, min_chars, bits, most, monkeypatch):
+    monkeypatch.setattr(lines, "_FAN_IN", 2)
+    monkeypatch.setattr(lines, "_SLICE_BITS", 1 << 11)
+    monkeypatch.setattr(lines, "_HOT_SHARE", 10)
+    rows = lines.drop_repeated_lines(documents, min_docs, min_chars, bits, most).collect()
     found = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in rows)
     assert found == _kept_lines(corpus, min_docs, min_chars)
     assert rows[0].asDict().keys() == {*documents.columns, "n_lines", "n_dropped"}
 
 
+def test_filters_hold_what_several_have():
+    rng = np.random.default_rng(8)
+    every = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    parts = [every[:1000], every[900:2000], every[1990:]]
+    filters = []
+    for part in parts:
+        once, twice = lines.Filter(1 << 16), lines.Filter(1 << 16)
+        once.put(once.places(part))
+        filters.append((once.data, twice.data))
+    once, twice = filters[0]
+    for o, t in filters[1:]:
+        once, twice = once | o, twice | t | (once & o)
+    merged = lines.Filter(1 << 16)
+    merged.data = twice
+    held = merged.holds(merged.places(every))
+    assert held[900:1000].all() and held[1990:2000].all() and held.mean() < 0.2
+
+
+def test_digests_with_a_half_in_common():
+    rows = np.array([(5, 1), (5, 2), (7, 1), (5, 9)], dtype=np.uint64)
+    asked = np.array([(5, 9), (5, 3), (7, 1), (8, 8), (5, 1)], dtype=np.uint64)
+    assert lines.Digests(rows).holds(asked).tolist() == [True, False, True, False, True]
+    assert not lines.Digests(rows[:0]).holds(asked).any()
+
+
 def test_lines_of_nothing(no_documents):
     assert lines.drop_repeated_lines(no_documents).count() == 0
 
@@ -203,6 +265,41 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_vectors(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_embedding_query_on_planted_clusters(spark, tmp_path, block, monkeypatch):
+    """Dense and drifting clusters under several labels, against all pairs by brute force."""
+    monkeypatch.setattr(embeddings, "_BLOCK", block)
+    monkeypatch.setattr(embeddings, "_SHARD_ROWS", 200)
+    rng, rows = np.random.default_rng(9), []
+    for label in (0, 1):
+        for spread in (0.05, 0.1, 0.15):
+            centre = rng.normal(size=64)
+            rows += [(centre + rng.normal(0, spread, 64), label) for _ in range(40)]
+        walk = rng.normal(size=64)
+        for _ in range(25):
+            walk = walk + rng.normal(0, 0.25, 64)
+            rows.append((walk, label))
+    rows += rows[:6] + [(rng.normal(size=64), 2) for _ in range(50)]
+    order = rng.permutation(len(rows))
+    full = [(int(order[i]), v.astype(np.float32).tolist(), a) for i, (v, a) in enumerate(rows)]
+    spark.createDataFrame(full, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    units = np.array([v for _, v, _ in full], dtype=np.float64)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    labels, ids = np.array([a for *_, a in full]), [i for i, *_ in full]
+    near = (units @ units.T >= 0.93) & (labels[:, None] == labels)
+    np.fill_diagonal(near, False)
+    groups = Groups()
+    for i, j in zip(*np.nonzero(near), strict=True):
+        groups.link(ids[i], ids[j])
+    found = {r["vec_id"]: r for r in embeddings.op10_embeddings(spark, str(tmp_path)).collect()}
+    want = dict(zip(ids, near.sum(axis=1).tolist(), strict=True))
+    assert sum(want.values()) > 5000 and len(found) == len(full)
+    assert all(found[i]["n_links"] <= n for i, n in want.items())
+    assert sum(r["n_links"] for r in found.values()) >= 0.999 * sum(want.values())
+    assert np.mean([found[i]["component_id"] == groups.find(i) for i in ids]) > 0.99
+    assert all(r["kept"] == (r["component_id"] == i) for i, r in found.items())
+
+
 def test_lattice_recall_at_the_threshold():
     rng = np.random.default_rng(6)
     one = rng.normal(size=(4000, 64))
