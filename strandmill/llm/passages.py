@@ -114,12 +114,6 @@ def _contexts(window: int, phrase: int):
     return run
 
 
-def _runs(starts: np.ndarray, window: int) -> np.ndarray:
-    """Begin and end of each run of words that windows cover, from their sorted starts."""
-    breaks = np.flatnonzero(np.diff(starts) > window)
-    return np.stack([starts[np.append(0, breaks + 1)], starts[np.append(breaks, -1)] + window], axis=1).ravel()
-
-
 def _locate(window: int):
     def run(_: tuple, patterns: pd.DataFrame, contexts: pd.DataFrame) -> pd.DataFrame:
         ids: dict[str, int] = {}
@@ -132,22 +126,30 @@ def _locate(window: int):
                 classes.append(of)
                 starts.append(begin + place)
         out = []
-        if classes:
+        if classes and len(contexts):
             automaton.make_automaton()
             own_class, own_start, confirmed = np.array(classes), np.array(starts), np.zeros(len(classes), dtype=bool)
-            known: dict[str, np.ndarray] = {}  # copies have contexts in common
-            for of, begin, text in zip(contexts["class"], contexts["begin"], contexts["words"], strict=True):
+            known: dict[str, int] = {}  # copies have contexts in common
+            found, number = [], []
+            for text in contexts["words"]:
                 if text not in known:
+                    known[text] = len(found)
                     stream = tuple([ids.get(w, 0) for w in text.split(" ")])
-                    known[text] = np.array(list(automaton.iter(stream)), dtype=np.int64).reshape(-1, 2)
-                ends, which = known[text].T
-                at = ends - window + 1 + begin
-                other = (own_class[which] != of) | (own_start[which] != at)
-                if other.any():
-                    confirmed[which[other]] = True
-                    out.append((of, _runs(at[other], window)))
-            own = pd.Series(own_start[confirmed]).groupby(own_class[confirmed])
-            out += [(of, _runs(np.sort(at.to_numpy()), window)) for of, at in own]
+                    found.append(np.array(list(automaton.iter(stream)), dtype=np.int64).reshape(-1, 2))
+                number.append(known[text])
+            ends, which = np.concatenate([found[k] for k in number]).T
+            row = np.repeat(np.arange(len(number)), [len(found[k]) for k in number])
+            of, at = contexts["class"].to_numpy()[row], ends - window + 1 + contexts["begin"].to_numpy()[row]
+            other = (own_class[which] != of) | (own_start[which] != at)
+            confirmed[which[other]] = True
+            of, at = np.append(of[other], own_class[confirmed]), np.append(at[other], own_start[confirmed])
+            order = np.lexsort((at, of))
+            of, at = of[order], at[order]
+            # runs of words that windows cover, and where the runs of each class begin
+            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (at[1:] - at[:-1] > window))[: len(of)])
+            spans = np.stack([at[first], at[np.append(first[1:], len(at))[: len(first)] - 1] + window], axis=1)
+            edges = np.flatnonzero(np.diff(of[first], prepend=-1, append=-1)) if len(first) else []
+            out = [(of[first[a]], spans[a:b].ravel()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pd.DataFrame(out, columns=["class", "spans"])
 
     return run
