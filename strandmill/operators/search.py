@@ -56,22 +56,88 @@ def search(index: Sketches, query: Sketches, cutoff: float = 0.0) -> DataFrame:
     return out.orderBy(F.desc("estimated_containment"), "from_name", "to_name")
 
 
-def _prefixes(query: Sketches, target: Sketches) -> DataFrame:
-    """(query_id, sketch_id, num_common) with the length of the common prefix of both sorted hash lists.
+#: Rows of a tile in a comparison of the sketches that share a prefix.
+_TILE = 256
 
-    Hashes that have the same place in both lists meet in an equi-join; the prefix reaches as far as these places are
-    consecutive from the first.
-    """
 
-    def placed(sketches: Sketches, key: str) -> DataFrame:
-        by_sketch = Window.partitionBy("sketch_id").orderBy(unsigned_order(F.col("hash")))
-        return sketches.postings.withColumn("place", F.row_number().over(by_sketch)).withColumnRenamed("sketch_id", key)
+def _nodes(query: Sketches, target: Sketches) -> DataFrame:
+    """(side, id, place, hash, before, size, child): the shared prefixes of sorted hash lists at which their sketches part.
+
+    A prefix is told by its last hash, its place and 64 bits of the hashes before; `size` sketches begin with it.  `child` is
+    the next hash; it is null where no other sketch goes on in the same way.  A prefix with which all of its sketches go on
+    is left out, so that a sketch has a row only where others leave it.
+    """
 
-    one, two = placed(query, "query_id"), placed(target, "sketch_id")
-    met = one.join(two, ["hash", "place"]).select("query_id", "sketch_id", "place")
-    by_pair = Window.partitionBy("query_id", "sketch_id").orderBy("place")
-    kept = met.withColumn("number", F.row_number().over(by_pair)).where("number = place")
-    return kept.groupBy("query_id", "sketch_id").agg(F.count("*").alias("num_common"))
+    def first(sketches: Sketches, side: int) -> DataFrame:
+        least = F.min(unsigned_order(F.col("hash"))).alias("first")
+        return sketches.postings.groupBy(F.col("sketch_id").alias("id")).agg(least).withColumn("side", F.lit(side))
+
+    def placed(sketches: Sketches, side: int) -> DataFrame:
+        by_sketch = Window.partitionBy("id").orderBy(unsigned_order(F.col("hash")))
+        rows = sketches.postings.select(F.col("sketch_id").alias("id"), "hash")
+        rows = rows.join(met.where(F.col("side") == side).select("id"), "id", "left_semi")
+        before = F.bit_xor(F.xxhash64("hash")).over(by_sketch.rowsBetween(Window.unboundedPreceding, -1))
+        added = {"place": F.row_number().over(by_sketch), "before": F.coalesce(before, F.lit(0)), "last": F.lag("hash").over(by_sketch)}
+        return rows.withColumns(added).withColumn("side", F.lit(side))
+
+    # most sketches share not even their first hash
+    firsts = first(query, 0) if target is query else first(query, 0).unionByName(first(target, 1))
+    met = firsts.join(firsts.groupBy("first").agg(F.count("*").alias("n")).where("n > 1"), "first")
+    rows = placed(query, 0) if target is query else placed(query, 0).unionByName(placed(target, 1))
+    alike = Window.partitionBy("hash", "place", "before")
+    # a common hash at the place before implies a common prefix there, and so on down to the first place
+    one = F.min("last").over(alike).eqNullSafe(F.max("last").over(alike))
+    size = F.when(one, F.count("*").over(alike)).otherwise(F.raise_error("different prefixes have the same 64 bits").cast("long"))
+    shared = rows.withColumn("size", size).where("size > 1").drop("last")
+    by_sketch = Window.partitionBy("side", "id").orderBy("place")
+    ahead = shared.withColumns({"child": F.lead("hash").over(by_sketch), "left": F.lead("size").over(by_sketch)})
+    heavy = F.coalesce(F.col("left") * 2 > F.col("size"), F.lit(False))
+    return ahead.where("left IS NULL OR left < size").withColumn("heavy", heavy).drop("left")
+
+
+def _prefixes(query: Sketches, target: Sketches, sides: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The columns of both sides and num_common, the length of the common prefix of both sorted hash lists, if there is one.
+
+    Two sketches meet once, at the prefix where they part, and each brings its columns along: pairs don't shuffle here.
+    Sketches that go on like most others of a prefix only meet those that don't, so that most rows that meet are results.
+    The sketches of one side are dealt to tiles, which all get those of the other side, so that no task gets all pairs of a
+    large group.
+    """
+    parts = int(query.sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = _nodes(query, target)
+    same = target is query
+    one = nodes.where("side = 0").withColumnRenamed("id", "query_id").join(sides[0], "query_id")
+    two = nodes.where(F.col("side") == (0 if same else 1)).withColumnRenamed("id", "sketch_id").join(sides[1], "sketch_id")
+    two = two.withColumnRenamed("child", "other")
+    tiles = F.ceil(F.col("size") / _TILE).cast("int")
+
+    def dealt(rows: DataFrame, key: str, own: list[str], all_of: list[str], heavy: str) -> DataFrame:
+        """A place in one tile of the kinds `own` and in every tile of the kinds `all_of`; of heavy rows, one of kind `heavy`."""
+
+        def at(kind: str, tile: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), tile.alias("tile"))
+
+        def everywhere(kind: str) -> Column:
+            return F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: at(kind, t))
+
+        tile = F.pmod(F.xxhash64(key), tiles).cast("int")
+        light = F.concat(*[F.array(at(kind, tile)) for kind in own], *map(everywhere, all_of))
+        at_all = F.explode(F.when(F.col("heavy"), F.array(at(heavy, tile))).otherwise(light)).alias("at")
+        rows = rows.select("*", at_all).select("*", "at.kind", "at.tile").drop("at", "side", "size", "heavy")
+        # counted partitions stay as they are: adaptive execution would merge them by the size of what meets, not of the pairs
+        return rows.repartition(parts, *key_of)
+
+    key_of = ["hash", "place", "before", "kind", "tile"]
+    one = dealt(one, "query_id", ["light"], ["to heavy"], "from heavy")
+    two = dealt(two, "sketch_id", [], ["light", "from heavy"], "to heavy")
+    met = one.join(two, key_of).where("child IS NULL OR other IS NULL OR child != other")
+    columns = [*sides[0].columns, *sides[1].columns]
+    found = met.select(*columns, F.col("place").cast("long").alias("num_common"))
+    if not same:
+        return found
+    found = found.where("query_id != sketch_id")
+    itself = sides[0].select("*", *[F.col(a).alias(b) for a, b in zip(sides[0].columns, sides[1].columns, strict=True)])
+    return found.unionByName(itself.withColumn("num_common", F.col("q_num_hashes")))
 
 
 def _ratio(kmers: str, hashes: str) -> Column:
@@ -92,14 +158,17 @@ def compare(
     if overlap not in ("intersection", "prefix"):
         raise ValueError(f"overlap {overlap!r}")
     sides = [s.where(F.col(f"{m}_num_hashes") > 0) for s, m in zip(_sides(query, target), "qt", strict=True)]
-    found = common_hashes(query, target) if overlap == "intersection" else _prefixes(query, target)
+    if overlap == "intersection":
+        found = common_hashes(query, target)
+        hits = found.join(sides[0], "query_id").join(sides[1], "sketch_id")
+    else:
+        hits = _prefixes(query, target, sides)
+        found = hits.select("query_id", "sketch_id", "num_common")
     if cutoff < 0:
         if (pairs := sides[0].count() * sides[1].count()) > most_pairs:
             raise ValueError(f"a negative cutoff asks for all {pairs} pairs")
         every = sides[0].crossJoin(sides[1]).join(found, ["query_id", "sketch_id"], "left")
         hits = every.withColumn("num_common", F.coalesce("num_common", F.lit(0)))
-    else:
-        hits = found.join(sides[0], "query_id").join(sides[1], "sketch_id")
     reverse = F.col("q_num_hashes") < F.col("t_num_hashes")
     one, two = _ratio("q_num_kmers", "q_num_hashes"), _ratio("t_num_kmers", "t_num_hashes")
     share = F.col("num_common").cast("double") / F.col("num_kmers").cast("double")

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,31 @@ def test_compare_counts_the_intersection_or_the_prefix(spark):
     assert (row["from_name"], row["to_name"], row["num_common"], row["reverse"]) == ("u", "t", 2, True)
 
 
+def common_prefix(one, two):
+    return next((i for i, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two)))
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_prefixes_of_many_copies(spark, monkeypatch, same):
+    """All pairs against brute force where large groups of copies, outliers and ends meet; pairs don't shuffle before the order."""
+    from strandmill.operators import search as module
+
+    monkeypatch.setattr(module, "_TILE", 4, raising=False)
+    rng = random.Random(13)
+    stem = sorted(rng.getrandbits(64) for _ in range(12))
+    lists = [stem] * 15 + [stem[:i] for i in (1, 5, 5, 12)] + [stem[:i] + sorted(h + 1 for h in stem[i:]) for i in (1, 5, 7, 7, 11)]
+    lists += [sorted([stem[0], *(rng.randrange(stem[0] + 1, 2**64) for _ in range(3))]) for _ in range(9)] + [[7], [8, 9], []]
+    named = [{f"{mark}{i}": (h, len(h)) for i, h in enumerate(lists if mark == "a" else lists[::2])} for mark in "ab"]
+    one = made(spark, named[0])
+    two = one if same else made(spark, named[1])
+    right = named[0] if same else named[1]
+    wanted = {(a, b): n for a, (x, _) in named[0].items() for b, (y, _) in right.items() if (n := common_prefix(x, y))}
+    result = compare(one, two, overlap="prefix")
+    rows = [(r["to_name"], r["from_name"], r["num_common"]) if r["reverse"] else (r["from_name"], r["to_name"], r["num_common"]) for r in result.collect()]
+    assert len(rows) == len(wanted) and {(a, b): n for a, b, n in rows} == wanted
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, sketch_id|hashpartitioning\(sketch_id#\d+L?, query_id", result._jdf.queryExecution().toString())
+
+
 def test_compare_ratio_cutoff_and_empty_sides(spark):
     a = made(spark, {"a": ([1, 2, 3, 4], 8), "none": ([], 0)})
     b = made(spark, {"b": ([1, 2, 9], 3), "far": ([100], 1)})
