@@ -6,15 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 
 from strandmill.functions.hashing import hash_function, threshold
 
 #: K-mer windows handled at once; bounds the memory of a long sequence.
 _WINDOWS = 1 << 18
 
+#: Bytes of text that are strings at once.
+_TEXT = 1 << 19
+
 
 def normalise(seq: Column) -> Column:
     """White space removed, upper case, U as T, gaps as `-`, anything else but ACGTN as N."""
@@ -101,6 +106,19 @@ def sketch_sequence(
     return found
 
 
+def _slices(batch: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, about `_TEXT` bytes at once and one at least; freed memory goes back when a batch is done.
+
+    A batch has up to 10,000 rows of any length, and each core's Python would hold it again as strings and as results.
+    """
+    total = np.cumsum(pc.binary_length(batch).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    for last in np.flatnonzero(np.diff(total // _TEXT, append=-1)) + 1:
+        yield batch.slice(first, last - first).to_pylist()
+        first = int(last)
+    pa.default_memory_pool().release_unused()
+
+
 def sketch_column(
     seq: Column, k: int, fscale: int | None, nmax: int | None, algorithm: str | Callable[[np.ndarray], np.ndarray]
 ) -> Column:
@@ -108,10 +126,14 @@ def sketch_column(
     kernel = algorithm if callable(algorithm) else hash_function(algorithm, k)
     limit = threshold(fscale)
 
-    @pandas_udf("array<bigint>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<bigint>")
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([sketch_sequence(s, k, kernel, limit, nmax).view(np.int64) for s in batch], dtype=object)
+            for texts in _slices(batch):
+                found = [sketch_sequence(s, k, kernel, limit, nmax).view(np.int64) for s in texts]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            del batch
 
     return sketch(seq)
 
@@ -121,16 +143,19 @@ def kmer_counts(seq: Column, k: int) -> Column:
     if k >= 32:
         raise ValueError("k-mers of 32 and more bases are not packed")
 
-    @pandas_udf("n_kmers long, n_distinct long")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("n_kmers long, n_distinct long")
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
-            for s in batch:
-                total, seen = 0, np.empty(0, dtype=np.uint64)
-                for kmers in _pieces(s, k):
-                    total, seen = total + len(kmers), np.union1d(seen, kmers)
-                rows.append((total, len(seen)))
-            yield pd.DataFrame(rows, columns=["n_kmers", "n_distinct"])
+            for texts in _slices(batch):
+                rows = []
+                for s in texts:
+                    total, seen = 0, np.empty(0, dtype=np.uint64)
+                    for kmers in _pieces(s, k):
+                        total, seen = total + len(kmers), np.union1d(seen, kmers)
+                    rows.append((total, len(seen)))
+                columns = [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)]
+                yield pa.StructArray.from_arrays(columns, names=["n_kmers", "n_distinct"])
+            del batch
 
     return counts(seq)
 

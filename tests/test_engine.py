@@ -71,6 +71,26 @@ def test_sketch_of_files_and_records(spark, fscale, nmax):
     assert all(r["num_kmers"] == len(expected([s], fscale, nmax)) for r in single.sigs.collect() for _, _, n, s in ROWS if n == r["name"])
 
 
+def test_large_batches_are_sketched_in_slices(spark):
+    """However many rows a batch has, about half a megabyte of it are strings at once; no row goes, whatever its length."""
+    import pyarrow as pa
+
+    from strandmill.functions import sequences
+
+    texts = [None, "", dna(1, 400)] + [dna(i, 1000) * (800 if i == 5 else 60) for i in range(2, 40)] + [None, dna(3, 50), ""]
+    slices = list(sequences._slices(pa.array(texts)))
+    assert [x for part in slices for x in part] == texts and list(sequences._slices(pa.array([], pa.string()))) == []
+    assert all(sum(map(len, filter(None, part))) <= 2 * sequences._TEXT or sum(len(x or "") > sequences._TEXT for x in part) == 1 for part in slices)
+    assert len(slices) > 3
+    df = records(spark, [("f", i, f"r{i}", t) for i, t in enumerate(texts)]).coalesce(1)
+    kernel, limit = hash_function("ahash", 21), threshold(50)
+    rows = df.select("seq", sequences.sketch_column(F.col("seq"), 21, 50, None, "ahash").alias("h"), sequences.kmer_counts(F.col("seq"), 21).alias("n"))
+    for text, r in zip(texts, rows.collect(), strict=True):
+        kmers = sequences.packed_kmers(sequences.normal_bytes(text or ""), 21)
+        assert r["seq"] == text and [h % 2**64 for h in r["h"]] == sketch_sequence(text, 21, kernel, limit, None).tolist()
+        assert tuple(r["n"]) == (len(kmers), len(set(kmers.tolist())))
+
+
 def test_long_kmers_and_custom_hash(spark):
     df = records(spark, ROWS[:2])
     assert hashes_of(sketch(df, 33, None, None, "murmur3"))["f1"] == expected([ROWS[0][3], ROWS[1][3]], None, None, 33, "murmur3")
