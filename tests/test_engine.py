@@ -91,6 +91,34 @@ def test_large_batches_are_sketched_in_slices(spark):
         assert tuple(r["n"]) == (len(kmers), len(set(kmers.tolist())))
 
 
+def test_memory_of_a_batch_does_not_grow_with_its_rows(monkeypatch):
+    """What the sketch step and the counts hold beside a batch in Arrow is the same for four times the rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strandmill.functions import sequences
+
+    monkeypatch.setattr(sequences, "arrow_udf", lambda kind: lambda made: made)
+    bases = dna(1, 8000)
+    texts = [bases[i : i + 4000] for i in range(1200)]
+    kernel, limit = hash_function("ahash", 21), threshold(10)
+    for column in (lambda b: sequences.sketch_column(b, 21, 10, None, "ahash"), lambda b: sequences.kmer_counts(b, 21)):
+        peaks = []
+        for rows in (300, 1200):
+            batch, seen = pa.array(texts[:rows]), 0
+            tracemalloc.start()
+            for part in column(iter([batch])):
+                if pa.types.is_list(part.type):
+                    for text, found in zip(texts[seen : seen + 2], part.slice(0, 2).to_pylist(), strict=False):
+                        assert [h % 2**64 for h in found] == sketch_sequence(text, 21, kernel, limit, None).tolist()
+                seen += len(part)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert seen == rows
+        assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_long_kmers_and_custom_hash(spark):
     df = records(spark, ROWS[:2])
     assert hashes_of(sketch(df, 33, None, None, "murmur3"))["f1"] == expected([ROWS[0][3], ROWS[1][3]], None, None, 33, "murmur3")
